@@ -1,7 +1,7 @@
 """Toxicity with a subsequence string-kernel support vector machine and Nystroem landmarks.
 
-The kernel of two words counts their common subsequences of three characters within five places, each weighted by
-``DECAY`` per character skipped, so an insult with characters inserted or left out stays close to itself.
+The kernel of two words counts their common subsequences of three characters within five places and of four with one
+skipped, each weighted by ``DECAY`` per character skipped, so an insult with characters inserted or left out stays close to itself.
 Landmarks are words; the Nystroem map turns a word into its kernel values with them, whitened, and a squared-hinge
 SVM is fitted there.  The kernel is an inner product of subsequence counts, hence the machine is linear in these too:
 its landmarks and weights collapse exactly into one weight per (hashed) subsequence, and a word is scored by summing
@@ -18,6 +18,7 @@ from __future__ import annotations
 import dataclasses
 import math
 import random
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from .common import mix64
 
 BUCKETS, WINDOW, DECAY = 1 << 20, 5, 0.6
-COMBOS = [(j, k) for k in range(2, WINDOW) for j in range(1, k)]
+#: Places of the characters after the first: three within WINDOW, and four with one skipped at most.
+COMBOS = [(j, k) for k in range(2, WINDOW) for j in range(1, k)] + [(1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)]
 #: Labelled rows of each class, about, that training reads at most; characters of them kept on the driver at most.
-SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 24_000_000
-LANDMARKS, ROUNDS, CACHE_WORDS = 192, 3, 400_000
+SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 20_000_000
+LANDMARKS, ROUNDS, CACHE_WORDS = 320, 4, 400_000
 STRIP = ".,;:!?\"'()[]{}<>*_-~`"
 
 
@@ -62,11 +64,13 @@ def _occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.arange(len(c))
     buckets, weights, word = [], [], []
     with np.errstate(over="ignore"):
-        for j, k in COMBOS:
-            i = np.flatnonzero(at + k < ends)
-            h = (c[i] * np.uint64(0x100000001B3) + c[i + j]) * np.uint64(0x100000001B3) + c[i + k]
+        for places in COMBOS:
+            i = np.flatnonzero(at + places[-1] < ends)
+            h = c[i] + np.uint64(len(places))
+            for j in places:
+                h = h * np.uint64(0x100000001B3) + c[i + j]
             buckets.append((mix64(h) & np.uint64(BUCKETS - 1)).astype(np.int64))
-            weights.append(np.full(len(i), DECAY ** (k - 2), np.float32))
+            weights.append(np.full(len(i), DECAY ** (places[-1] - len(places)), np.float32))
             word.append(of[i])
     return np.concatenate(buckets), np.concatenate(weights), np.concatenate(word)
 
@@ -74,7 +78,7 @@ def _occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _norms(words: list[str]) -> np.ndarray:
     """Root of the sum of squared weights: a rescaling by the word's length."""
     n = np.array([min(len(w), 64) + 2 for w in words], float)
-    return np.sqrt(np.maximum(1e-6, sum(np.maximum(0, n - k) * DECAY ** (2 * (k - 2)) for _, k in COMBOS)))
+    return np.sqrt(np.maximum(1e-6, sum(np.maximum(0, n - p[-1]) * DECAY ** (2 * (p[-1] - len(p))) for p in COMBOS)))
 
 
 class Landmarks:
@@ -114,7 +118,7 @@ class Landmarks:
         return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM in the primal by Newton steps over the support vectors; y is 1 or -1."""
     x1 = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     w = np.zeros(x1.shape[1])
@@ -179,35 +183,55 @@ def corrupted(word: str, rng: random.Random, n: int = 8) -> Iterable[str]:
         yield rng.choice([word[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz0123456789.-_*") + word[i:], word[:i] + word[max(0, i - 1)] + word[i:], rng.choice(".-_*").join(word)])
 
 
+def _units(word: str) -> list[str]:
+    """The word and its stems (beginnings, marked with +), by which words that only share their beginning count together."""
+    return [word, *(f"{word[:k]}+" for k in (4, 5, 6) if len(word) > k)]
+
+
 def fit_rows(rows: list[tuple[str | None, int]], prior: float | None = None, seed: int = 7) -> ToxicityModel:
     """Fits the model to (text, label) rows; ``prior``: share of label 1 among all labelled rows."""
     rng = random.Random(seed)
-    bags = [(set(words_of(t)), y) for t, y in rows]
-    n1, n0 = sum(y for _, y in bags), sum(1 - y for _, y in bags)
+    every, apart_rows = rows, [r for r in rows if zlib.crc32((r[0] or "").encode()) % 4 == 0]
+    if sum(y for _, y in apart_rows) >= 5 and sum(1 - y for _, y in apart_rows) >= 5:  # these only calibrate
+        rows = [r for r in rows if zlib.crc32((r[0] or "").encode()) % 4]
+    else:
+        apart_rows = rows
+    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
     none = ToxicityModel(np.zeros(BUCKETS, np.float32), -1.0, 1.0, -4.0)
     if not n1 or not n0:
         return none
     toxic, clean = Counter(), Counter()
-    for words, y in bags:
-        units = set(words)
-        for w in words:  # stems: words that only share their beginning
-            for k in (4, 5, 6):
-                if len(w) > k:
-                    units.add(w[:k] + "+")
-        (toxic if y else clean).update(units)
+    for t, _ in (r for r in rows if r[1]):
+        toxic.update({u for w in set(words_of(t)) for u in _units(w)})
+    for t, _ in (r for r in rows if not r[1]):
+        clean.update({u for w in set(words_of(t)) for u in _units(w) if u == w or u in toxic})
+    # rows that are copies of each other are one piece of evidence: a unit counts once for equal neighbours
+    doubtful = {u for u, n in toxic.items() if n > 2 and n > 4 * clean[u]}
+    seen: set[tuple[str, str, str]] = set()
+    apart = Counter()
+    for t, _ in (r for r in rows if r[1]):
+        words, own = ["", *words_of(t), ""], set()
+        for i in range(1, len(words) - 1):
+            for u in _units(words[i]):
+                if u in doubtful and (key := (u, words[i - 1], words[i + 1])) not in seen:
+                    seen.add(key)
+                    own.add(u)
+        apart.update(own)
     share = n1 / (n1 + n0)
     tests = max(100, len(toxic))
 
     def surprise(u: str) -> float:
         """Log of a bound (Chernoff) on the chance that so many of the rows that hold u are toxic."""
-        a, b = toxic[u], clean[u]
+        a, b = apart[u], clean[u]
+        if not a:
+            return 0.0
         p = a / (a + b)
         if p <= max(share, 0.9):
             return 0.0
         return (a + b) * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0))
 
     limit = math.log(tests / 0.05)
-    seeds = sorted((u for u in toxic if surprise(u) > limit), key=lambda u: (-surprise(u), u))
+    seeds = sorted((u for u in doubtful if surprise(u) > limit), key=lambda u: (-surprise(u), u))
     stems = {u[:-1] for u in seeds if u.endswith("+")}
     seeds = [u for u in seeds if not u.endswith("+")]
     seeds += [w for w in sorted(toxic, key=lambda w: (-toxic[w], w)) if not w.endswith("+") and w not in set(seeds) and clean[w] == 0 and any(w[:k] in stems for k in (4, 5, 6))]
@@ -219,7 +243,7 @@ def fit_rows(rows: list[tuple[str | None, int]], prior: float | None = None, see
     common, rare = plain[:4000], plain[4000:]
     rng.shuffle(rare)
     positive, negative = list(dict.fromkeys(seeds))[:4000], common + rare[:12_000]
-    half = LANDMARKS * 2 // 3
+    half = LANDMARKS // 2
     variety = list(dict.fromkeys([*seeds[: half // 2], *rng.sample(positive, min(len(positive), half // 2))]))
     marks = Landmarks(variety + rng.sample(negative, min(len(negative), LANDMARKS - half)))
     model = none
@@ -227,7 +251,7 @@ def fit_rows(rows: list[tuple[str | None, int]], prior: float | None = None, see
         extra = [v for w in positive[:400] for v in corrupted(w, rng, 4)]
         words = positive + extra + negative
         y = np.array([1.0] * (len(positive) + len(extra)) + [-1.0] * len(negative))
-        per = np.array([1.0] * len(positive) + [0.3] * len(extra) + [1.0] * len(negative))
+        per = np.array([1.0 + min(20.0, apart[w] / 5) for w in positive] + [0.2] * len(extra) + [1.0] * len(negative))
         per[y > 0] *= max(1.0, 0.25 * len(negative) / max(1, len(positive) + len(extra)))
         w, b = fit_svm(marks.map(words), y, per)
         model = ToxicityModel(marks.collapse(w), b, 1.0, 0.0)
@@ -240,21 +264,28 @@ def fit_rows(rows: list[tuple[str | None, int]], prior: float | None = None, see
         positive += [candidates[i] for i in np.flatnonzero(s > 0.5)][:4000]
         s = np.concatenate([model.word_scores(rare[a : a + 20_000]) for a in range(0, len(rare), 20_000)] or [np.empty(0)])
         hard = [rare[i] for i in np.argsort(-s)[:4000] if s[i] > -0.9]
-        negative += [h for h in hard if h not in known]
-    # calibration on the rows themselves, weighted to the prior of all labelled rows
-    margin = np.array([model.worst(t) for t, _ in rows])
-    label = np.array([y for _, y in rows], float)
-    prior = share if prior is None else min(max(prior, 1e-4), 1 - 1e-4)
+        hard = [h for h in hard if h not in known]
+        negative += hard
+        if hard:  # what is hard to tell apart makes the best landmarks
+            marks = Landmarks(variety + hard[: (LANDMARKS - half) * 2 // 3] + rng.sample(negative, min(len(negative), (LANDMARKS - half) // 3)))
+    # calibration on rows apart, weighted to the prior of all labelled rows; a weak prior keeps the slope near 3
+    margin = np.clip([model.worst(t) for t, _ in apart_rows], -3, 3)
+    label = np.array([y for _, y in apart_rows], float)
+    n1, n0 = label.sum(), (1 - label).sum()
+    prior = sum(y for _, y in every) / len(every) if prior is None else min(max(prior, 1e-4), 1 - 1e-4)
     per = np.where(label > 0, prior / n1, (1 - prior) / n0)
-    a, c = 1.0, 0.0
+    mean, weak = np.array([3.0, -3.0]), np.array([2e-3, 1e-4])
+    fit = mean.copy()
     x = np.column_stack([margin, np.ones(len(margin))])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ [a, c], -30, 30)))
-        hess = (x * (per * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, x.T @ (per * (label - p)) - 1e-3 * np.array([a, c]))
-        a, c = a + step[0], c + step[1]
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
+        hess = (x * (per * p * (1 - p))[:, None]).T @ x + np.diag(weak)
+        step = np.linalg.solve(hess, x.T @ (per * (label - p)) - weak * (fit - mean))
+        step *= min(1.0, 2 / max(1e-9, abs(step).max()))
+        fit = fit + step
         if abs(step).max() < 1e-6:
             break
+    a, c = fit
     model.slope, model.offset = float(a), float(c)
     model.cache.clear()
     return model
