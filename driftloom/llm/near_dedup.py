@@ -10,10 +10,11 @@ Stages, all of them distributed:
 3. ``postings``: what each node retains in that order.  A node retains its first ``|A| - ceil(t|A|) + 1``
    values, of which two linked sets share at least one (pigeonhole); where most of its values are
    infrequent, the first 32 of these do (two linked sets miss each other with probability below 1e-7).
-4. Inverted lists of the retained values generate candidate pairs in rounds: members of a list meet a few
-   of it ("hubs"); those that are linked fall into one component, pairs within which need no comparison.
-   Later rounds take hubs from what is outside a list's largest component until each list is one component
-   or all its pairs across components were compared.  So no list is expanded into all its pairs, and none is cut.
+4. Inverted lists of the retained values generate candidate pairs.  First each member of a list meets one hub; those
+   that are linked fall into one component, pairs within which need no comparison.  Then what is outside a list's
+   largest component meets the rest of the list: pair by pair in short lists, in long ones block by block as a matrix
+   of overlaps of which only links come out.  An entry's place in its node's order tells whether enough of the set
+   is left for the overlap (positional filter).  No list is expanded into all its pairs, and none is cut.
 5. The estimate from the union's sketch drops pairs that are far below the threshold (over 6 standard
    deviations); the rest are confirmed on the full sets of shingle strings.
 
@@ -27,6 +28,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +36,12 @@ from pyspark.sql import functions as F
 from .common import blocks, hash_grams, hash_words, materialize, mix64, release
 
 SHINGLE, SKETCH, RETAIN, SEEN_NODES = 5, 64, 32, 200_000
+#: Lists up to this length are compared pair by pair, longer ones in blocks of so many members.
+SHORT_LIST, BLOCK_NODES = 32, 256
 #: Frequent shingles that are broadcast at most (8 bytes each).
 HOT_VALUES = 1 << 20
 #: A value counts as frequent from so many nodes that have it among their 16 lowest.
-HOT_LEAST = 24
+HOT_LEAST = 6
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> set[bytes]:
@@ -95,7 +99,7 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, th
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = hot.value, set()
         for b in batches:
-            values, nodes, sizes = [], [], []
+            values, nodes, sizes, places = [], [], [], []
             for s in _sets(b.column(0).to_pylist(), k, seed):
                 if not len(s):
                     continue
@@ -115,10 +119,11 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, th
                 values.append(kept.view(np.int64))
                 nodes.append(np.full(len(kept), node, np.int64))
                 sizes.append(np.full(len(kept), len(s), np.int64))
+                places.append(np.arange(len(kept), dtype=np.int64))
             if values:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (values, nodes, sizes)], names=["value", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (values, nodes, sizes, places)], names=["value", "node", "n", "pos"])
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text")).mapInArrow(run, "value long, node long, n long")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text")).mapInArrow(run, "value long, node long, n long, pos long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -186,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``threshold``: a fraction (numerator, denominator) that the Jaccard similarity must reach.
     """
-    spark, limit = docs.sparkSession, threshold[0] / threshold[1]
+    spark = docs.sparkSession
     for seed in range(8):
         sig = materialize(signatures(docs, id_col, text_col, k, seed), "signatures")
         own = sig.where((F.col("n") > 0) & F.col("id").isNotNull())
@@ -213,42 +218,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     base = _postings(docs, id_col, text_col, k, seed, threshold, hot).repartition(F.col("value")).dropDuplicates(["value", "node"])
     order = F.xxhash64("node")
-    stats = base.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("h"), "node", "n")).alias("hub"))
-    lists = base.join(stats.where("size > 1"), "value").select("value", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    stats = base.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct((F.col("pos") * 7 > F.col("n")).alias("far"), order.alias("h"), "node", "n", "pos")).alias("hub"))
+    lists = base.join(stats.where("size > 1"), "value").select("value", "node", "n", "pos", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
     lists = materialize(lists, "lists")
-    pairs = lists.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("x"), F.col("hub_n").alias("y"))
-    lists_now, stale = lists.where("node != hub").select("value", "node", "n"), lists
-    links: DataFrame | None = None
-    checked: DataFrame | None = None
-    labels: DataFrame | None = None
+    fits = _may_link(threshold)
+    pair = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    pairs = lists.where("node != hub").where(fits).select(*pair)
     sketches = own.join(reps.select("node", F.col("rep").alias("id")), ["node", "id"]).select("node", "sketch").dropDuplicates(["node"])
-    hubs_wanted = 32
-    while True:
-        found_pairs, new = _confirm(pairs, docs, id_col, text_col, reps, sketches, k, seed, threshold, limit, checked)
-        links_were, checked_were = links, checked
-        links = new if links is None else materialize(links.unionByName(new), "links")
-        checked = found_pairs if checked is None else materialize(checked.unionByName(found_pairs), "checked")
-        if links_were is not None:
-            release(links_were, new)
-            release(checked_were, found_pairs)
-        release(labels)
-        labels = materialize(connected_components(links), "components")
-        entries = lists_now.join(labels, "node", "left").select("value", "node", "n", F.coalesce("label", "node").alias("comp"))
-        per = entries.groupBy("value", "comp").agg(F.count("*").alias("c"))
-        major = per.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("size"))
-        major = major.where("comps > 1").select("value", F.col("m.comp").alias("major"), (F.col("size") - F.col("m.c")).alias("minor"))
-        entries = materialize(entries.join(major, "value"), "entries")
-        release(stale)
-        if not entries.limit(1).count():
-            release(entries)
-            break
-        share = F.pmod(F.xxhash64("node", F.lit(hubs_wanted)), F.lit(1 << 40)) / float(1 << 40)
-        is_hub = (F.col("comp") != F.col("major")) & (share < hubs_wanted / F.col("minor"))
-        hubs = entries.where(is_hub).select("value", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        met = entries.join(hubs, "value").where("comp != hub_comp")
-        pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("x"), F.col("hub_n").alias("y"))
-        lists_now, stale = entries.where(~is_hub).select("value", "node", "n"), entries
-        hubs_wanted *= 8
+    source = (docs, id_col, text_col, reps, sketches, k, seed, threshold)
+    checked, star = _confirm(pairs, *source)
+    labels = materialize(connected_components(star), "components")
+    entries = lists.where("node != hub").join(labels, "node", "left").select("value", "node", "n", "pos", "hub", F.coalesce("label", "node").alias("comp"))
+    per = entries.groupBy("value", "comp").agg(F.count("*").alias("c"))
+    major = per.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("size"))
+    major = major.where("comps > 1").select("value", F.col("m.comp").alias("major"), "size")
+    entries = materialize(entries.join(major, "value"), "entries")
+    release(lists)
+    outside = F.col("comp") != F.col("major")
+    short = entries.where(F.col("size") <= SHORT_LIST)
+    ones = short.where(outside).select("value", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
+    met = short.drop("hub").withColumnRenamed("value", "__v").join(ones, (F.col("__v") == F.col("value")) & (F.col("comp") != F.col("hub_comp")) & fits)
+    pairs = met.select(*pair).unionByName(_block_links(entries.where(F.col("size") > SHORT_LIST), outside, source))
+    pairs = pairs.join(checked, ["a", "b"], "left_anti")
+    _, more = _confirm(pairs, *source)
+    old, labels = labels, materialize(connected_components(star.unionByName(more)), "components")
+    release(entries, checked, star, more, old)
 
     lowest = labels.join(reps.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component"))
     moved = labels.join(lowest, "label").select("node", "component")
@@ -257,11 +251,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sig.join(whole, "node", "left").select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), at).alias("component_id"), "node"
     )
-    release(links, checked)
     kept: Column = F.col("id").eqNullSafe(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"), "node")
 
 
+def _may_link(threshold: tuple[int, int]) -> Column:
+    """Whether two entries of a list, (n, pos) and (hub_n, hub_pos), may be those of the first value that a linked pair
+    has in common: their sizes fit, and what follows in the order is enough for the overlap."""
+    num, den = threshold
+    sizes = F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num
+    left = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
+    return sizes & (left * (num + den) >= (F.col("n") + F.col("hub_n")) * num)
+
+
 def _own_texts(texts: DataFrame, k: int, seed: int) -> DataFrame:
     """The rows (node, text) whose text has the identity ``node``."""
 
@@ -273,23 +275,93 @@ def _own_texts(texts: DataFrame, k: int, seed: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, text string")
 
 
-def _confirm(pairs, docs, id_col, text_col, reps, sketches, k, seed, threshold, limit, checked) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) of fitting sizes that were not compared before, and those of them that are linked."""
-    num, den = threshold
-    pairs = pairs.where((F.least("x", "y") * den >= F.greatest("x", "y") * num)).select("a", "b").distinct()
-    if checked is not None:
-        pairs = pairs.join(checked, ["a", "b"], "left_anti")
-    pairs = materialize(pairs, "pairs")
-    side = lambda c: sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"))
-    likely = materialize(_estimate(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb"), limit), "likely")
-    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct().join(reps.select("node", F.col("rep").alias("__id")), "node")
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(wanted, "__id").select("node", "text")
+def _texts(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, k: int, seed: int) -> DataFrame:
+    """(node, text) of the wanted nodes, one row each."""
+    wanted = wanted.distinct().join(reps.select("node", F.col("rep").alias("__id")), "node")
+    texts = materialize(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(wanted, "__id").select("node", "text"), "texts")
     # an id that stands on several rows brings other texts along: only one that has the node's identity stays
-    texts = materialize(texts, "texts")
     if texts.groupBy("node").count().where("count > 1").limit(1).count():
         own = materialize(_own_texts(texts, k, seed).dropDuplicates(["node"]), "texts")
         release(texts)
         texts = own
+    return texts
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set."""
+    flat = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (left, right)]
+    common = np.intersect1d(flat[0][0], flat[1][0])
+    at = []
+    for values, rows in flat:
+        col = np.searchsorted(common, values)
+        hit = common[np.minimum(col, len(common) - 1)] == values if len(common) else np.zeros(len(values), bool)
+        order = np.argsort(col[hit], kind="stable")
+        at.append((col[hit][order], rows[hit][order]))
+    out = np.zeros((len(left), len(right)), np.float64)
+    for a in range(0, len(common), 4096):
+        dense = []
+        for (col, rows), x in zip(at, (left, right), strict=True):
+            lo, hi = np.searchsorted(col, [a, a + 4096])
+            m = np.zeros((len(x), min(4096, len(common) - a)), np.float32)
+            m[rows[lo:hi], col[lo:hi] - a] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _block_links(entries: DataFrame, outside: Column, source: tuple) -> DataFrame:
+    """Links (a, b) between what is outside the largest component of a long list and all of the list.
+
+    Members are compared in blocks of BLOCK_NODES by BLOCK_NODES as a matrix of overlaps; only links that join two
+    components are returned, at most one per member of the two blocks.  Lists of one hub are handled together.
+    """
+    docs, id_col, text_col, reps, _, k, seed, (num, den) = source
+    members = materialize(entries.groupBy("hub", "node").agg(F.max(outside).alias("out"), F.max("comp").alias("comp")), "members")
+    size = members.groupBy("hub").agg(F.count("*").alias("n"), F.count_if("out").alias("m"))
+    blocks_of = lambda c: F.ceil(F.col(c) / BLOCK_NODES).cast("int")
+    size = size.select(F.col("hub").alias("g"), blocks_of("n").alias("all_blocks"), blocks_of("m").alias("out_blocks"))
+    texts = _texts(members.select("node"), docs, id_col, text_col, reps, k, seed)
+    rows = members.select(F.col("hub").alias("g"), "node", "out", "comp").join(texts, "node").join(size, "g")
+    own = lambda c: F.pmod(F.xxhash64("node", F.lit(3)), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = rows.where("out").select("g", "node", "comp", "text", own("out_blocks").alias("i"), every("all_blocks").alias("j"))
+    right = rows.select(F.col("g").alias("h"), F.col("node").alias("node_y"), F.col("comp").alias("comp_y"), F.col("text").alias("text_y"), every("out_blocks").alias("p"), own("all_blocks").alias("q"))
+
+    def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            sx, sy = list(_sets(x["text"].tolist(), k, seed)), list(_sets(y["text_y"].tolist(), k, seed))
+            both = overlaps(sx, sy)
+            nx, ny = np.array([len(s) for s in sx]), np.array([len(s) for s in sy])
+            linked = den * both >= num * (nx[:, None] + ny[None, :] - both)
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.setdefault(c, c) != c:
+                    c = root[c]
+                return c
+
+            xn, yn, xc, yc = x["node"].tolist(), y["node_y"].tolist(), x["comp"].tolist(), y["comp_y"].tolist()
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                p, q = find(xc[i]), find(yc[j])
+                if p != q:
+                    root[p] = q
+                    found.append((min(xn[i], yn[j]), max(xn[i], yn[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return left.groupBy("g", "i", "j").cogroup(right.groupBy("h", "p", "q")).applyInPandas(run, "a long, b long")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, sketches: DataFrame, k: int, seed: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The distinct pairs (a, b), and those of them that are linked."""
+    pairs = pairs.distinct()
+    pairs = materialize(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketches = materialize(sketches.join(nodes, "node"), "sketches")
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"))
+    likely = materialize(_estimate(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb"), threshold[0] / threshold[1]), "likely")
+    release(sketches)
+    texts = _texts(likely.select(F.explode(F.array("a", "b")).alias("node")), docs, id_col, text_col, reps, k, seed)
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
     both = likely.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
     links = materialize(_verify(both, k, threshold), "links")
