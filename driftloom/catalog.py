@@ -1,4 +1,480 @@
-"""All queries of the library and their SQL."""
+"""All queries of the library and their SQL.  A query is a function of (spark, sf_dir); ``sql`` is what DuckDB runs."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .functions import dialect, formatting
+from .operators import diff, filters, generate, graph, index, ordering
+from .plans import scripts
+from .sources import files
+from .streaming import events as ev
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_t = files.table
+_SIDES = """l AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 10 <> 0),
+r AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 2 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 20 = 2 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 10 <> 1)"""
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots of customer that differ by a fixed rule."""
+    c, k = _t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), F.col("c_custkey")
+    right = c.where(k % 10 != 1).withColumn("c_acctbal", F.when(k % 10 == 2, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))).withColumn("c_mktsegment", F.when(k % 20 == 2, None).otherwise(F.col("c_mktsegment")))
+    return c.where(k % 10 != 0), right
+
+
+# ---- diff and sets --------------------------------------------------------------------------
+
+
+@query(f"""WITH {_SIDES}
+SELECT coalesce(l.c_custkey, r.c_custkey) AS c_custkey, CASE WHEN r.c_custkey IS NULL THEN 'LEFT' WHEN l.c_custkey IS NULL THEN 'RIGHT' ELSE 'BOTH' END AS side,
+  CASE WHEN r.c_custkey IS NULL THEN 'delete' WHEN l.c_custkey IS NULL THEN 'add' ELSE 'edit' END AS to_project,
+  CASE WHEN r.c_custkey IS NULL THEN 'CREATE' WHEN l.c_custkey IS NULL THEN 'DROP' ELSE 'ALTER' END AS to_database,
+  l.c_acctbal AS c_acctbal_left, r.c_acctbal AS c_acctbal_right
+FROM l FULL JOIN r ON l.c_custkey = r.c_custkey
+WHERE l.c_custkey IS NULL OR r.c_custkey IS NULL OR l.c_name IS DISTINCT FROM r.c_name OR l.c_acctbal IS DISTINCT FROM r.c_acctbal OR l.c_mktsegment IS DISTINCT FROM r.c_mktsegment""")
+def jon1_two_sided_diff(spark, d):
+    out = diff.two_sided_diff(*_sides(spark, d), ["c_custkey"])
+    side = F.col("side")
+    return out.select("c_custkey", "side", diff.change_label(side).alias("to_project"), diff.change_label(side, True).alias("to_database"), "c_acctbal_left", "c_acctbal_right").orderBy("side", "c_custkey")
+
+
+@query("SELECT 0::BIGINT AS n")
+def jon2_roundtrip(spark, d):
+    left, right = _sides(spark, d)
+    after = diff.apply_diff(left, diff.two_sided_diff(left, right, ["c_custkey"]), ["c_custkey"])
+    return diff.two_sided_diff(after, right, ["c_custkey"]).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SIDES}, b AS (SELECT l.c_custkey, l.c_acctbal a1, r.c_acctbal a2, l.c_mktsegment m1, r.c_mktsegment m2 FROM l JOIN r USING (c_custkey))
+SELECT c_custkey, 'c_acctbal' AS "column" FROM b WHERE a1 IS DISTINCT FROM a2 UNION ALL SELECT c_custkey, 'c_mktsegment' FROM b WHERE m1 IS DISTINCT FROM m2""")
+def jon3_changed_columns(spark, d):
+    return diff.changed_columns(*_sides(spark, d), ["c_custkey"])
+
+
+@query("SELECT l_orderkey, l_partkey % 50 AS bucket, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def jon11_duplicates(spark, d):
+    return diff.duplicates(_t(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 50).alias("bucket")), ["l_orderkey", "bucket"])
+
+
+_NODES = """n AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS parent_id, o_orderpriority AS name FROM orders
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_mktsegment FROM customer
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'r' || r_regionkey, NULL, r_name FROM region)"""
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The tree region, nation, customer, order."""
+
+    def level(table, p, key, parent, pp, name):
+        up = F.concat(F.lit(pp), parent) if parent else F.lit(None).cast("string")
+        return _t(spark, d, table).select(F.concat(F.lit(p), key).alias("id"), up.alias("parent_id"), F.col(name).alias("name"))
+
+    return level("orders", "o", "o_orderkey", "o_custkey", "c", "o_orderpriority").unionByName(level("customer", "c", "c_custkey", "c_nationkey", "n", "c_mktsegment")).unionByName(level("nation", "n", "n_nationkey", "n_regionkey", "r", "n_name")).unionByName(level("region", "r", "r_regionkey", None, "", "r_name"))
+
+
+@query(f"""WITH {_NODES}, i AS (SELECT id FROM n WHERE id LIKE 'c%7'), x AS (
+SELECT n.* FROM n WHERE id IN (FROM i) OR parent_id IN (FROM i) OR EXISTS (SELECT 1 FROM n m WHERE m.id IN (FROM i) AND m.parent_id = n.parent_id AND m.name = n.name))
+SELECT DISTINCT id, name FROM x""")
+def jon12_expand_fragments(spark, d):
+    nodes = _nodes(spark, d)
+    return diff.expand_fragments(nodes, nodes.where("id LIKE 'c%7'")).select("id", "name")
+
+
+@query(f"WITH {_NODES} SELECT DISTINCT coalesce(parent_id, id) AS id FROM n WHERE name LIKE '%U%'")
+def jon13_promote_to_root(spark, d):
+    return diff.promote_to_root(_nodes(spark, d).where("name LIKE '%U%'"))
+
+
+@query(f"WITH {_NODES}, i AS (SELECT id FROM n WHERE id LIKE 'c%1' OR id LIKE 'o%1') SELECT id FROM n WHERE id IN (FROM i) AND parent_id IN (FROM i)")
+def jon14_children_in_input(spark, d):
+    nodes = _nodes(spark, d)
+    return diff.children_in_input(nodes, nodes.where("id LIKE 'c%1' OR id LIKE 'o%1'")).select("id")
+
+
+@query("SELECT l_partkey, p_name, p_brand, count(*) AS uses FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25 GROUP BY ALL")
+def jon5_reference_lookup(spark, d):
+    parts = _t(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    return _t(spark, d, "lineitem").select("l_partkey").groupBy("l_partkey").agg(F.count("*").alias("uses")).join(parts, "l_partkey").select("l_partkey", "p_name", "p_brand", "uses")
+
+
+@query("""SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS holds FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
+  AND a.l_quantity::BIGINT >= b.l_linenumber * 5 AND a.l_quantity::BIGINT < b.l_linenumber * 5 + 12""")
+def jon7_point_in_range(spark, d):
+    li = _t(spark, d, "lineitem")
+    points = li.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("at"))
+    ranges = li.select("l_orderkey", F.col("l_linenumber").alias("holds"), (F.col("l_linenumber") * 5).cast("bigint").alias("lo"), F.lit(12).cast("bigint").alias("len"))
+    return index.range_join(points, ranges, "l_orderkey", "at", "lo", "len", 16).select("l_orderkey", "l_linenumber", "holds")
+
+
+@query("""SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
+  AND a.o_orderdate < b.o_orderdate + INTERVAL 30 DAY AND b.o_orderdate < a.o_orderdate + INTERVAL 30 DAY""")
+def jon8_interval_overlap(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("lo"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAY")).alias("hi"))
+    a, b = o.select(*[F.col(c).alias(f"a_{c}") for c in o.columns]), o.select(*[F.col(c).alias(f"b_{c}") for c in o.columns])
+    on = (F.col("a_o_custkey") == F.col("b_o_custkey")) & (F.col("a_o_orderkey") < F.col("b_o_orderkey")) & index.overlaps(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))
+    return a.join(b, on).select(F.col("a_o_orderkey").alias("a"), F.col("b_o_orderkey").alias("b"))
+
+
+@query("SELECT s_suppkey, n_name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey")
+def jon4_metadata_lookup(spark, d):
+    n = _t(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return _t(spark, d, "supplier").join(n, "s_nationkey", "left").select("s_suppkey", "n_name")
+
+
+# ---- filters ---------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND regexp_matches(p_brand, '(?i)brand#[1-3]') AND contains(lower(p_type), 'e')")
+def flt1_text_match(spark, d):
+    p = _t(spark, d, "part")
+    return p.where(filters.text_match(F.col("p_name"), "A") & filters.text_match(F.col("p_brand"), "brand#[1-3]", True) & filters.name_match(F.col("p_type"), F.col("p_name"), "E")).select("p_partkey", "p_name")
+
+
+@query(f"""WITH {_NODES}, h AS (SELECT * FROM n WHERE contains(lower(name), 'auto'))
+SELECT DISTINCT id, name FROM n WHERE contains(lower(name), 'auto') OR parent_id IN (SELECT id FROM h) OR id IN (SELECT parent_id FROM h)""")
+def flt3_self_parent_child(spark, d):
+    return filters.matches_self_parent_or_child(_nodes(spark, d), filters.text_match(F.col("name"), "AUTO")).select("id", "name")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_discount >= 0.03 AND l_quantity > 20 AND year(l_shipdate) >= 1990""")
+def flt10_conjunction(spark, d):
+    c = F.col
+    cond = filters.conjunction(filters.any_of(c("l_returnflag"), ["A", "R"]), filters.any_of(c("l_linestatus"), []), c("l_discount") >= 0.03, c("l_quantity") > 20, F.year("l_shipdate") >= 1990, None)
+    return _t(spark, d, "lineitem").where(cond).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey FROM part WHERE NOT (regexp_matches(p_brand, '#1') AND p_size < 20 OR p_brand = 'Brand#22' AND p_size >= 20)")
+def flt11_ignore_rules(spark, d):
+    own = spark.createDataFrame([("#1", True, ["small"])], "pattern string, is_regex boolean, types array<string>")
+    project = spark.createDataFrame([("Brand#22", False, ["large"])], own.schema)
+    p = _t(spark, d, "part").withColumn("kind", F.when(F.col("p_size") < 20, "small").otherwise("large"))
+    return filters.ignored(p, own.unionByName(project), "p_brand", "kind").select("p_partkey")
+
+
+@query("SELECT p_partkey, p_name, instr(upper(p_name), 'E') AS at FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') AND instr(upper(p_name), 'E') > 0")
+def flt15_completion(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("type"))
+    return filters.complete(p, "e", ["Brand#11", "Brand#12", "Brand#13"]).select("p_partkey", F.col("name").alias("p_name"), F.col("at").cast("bigint").alias("at"))
+
+
+@query("SELECT * FROM (VALUES ('DROP TABLE t', 'DROP TABLE'), ('ALTER TABLE t DROP COLUMN c', 'DROP COLUMN'), ('ALTER SEQUENCE s RESTART', 'RESTART')) t(sql, danger)")
+def flt14_danger_gate(spark, d):
+    script = "DROP TABLE t; SELECT ';'; ALTER TABLE t DROP COLUMN c; UPDATE t SET a = 1; -- x;\nALTER SEQUENCE s RESTART"
+    return filters.danger_gate(spark.createDataFrame(scripts.split_script(script), "at int, sql string"), ["UPDATE"]).select("sql", "danger")
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 99, 'NEW'")
+def flt23_duplicate_guard(spark, d):
+    n = _t(spark, d, "nation").select("n_nationkey", "n_name")
+    new = spark.createDataFrame([(99, "NEW")], n.schema).unionByName(n.limit(3))
+    return filters.insert_unless_present(n, new)
+
+
+@query("SELECT page_id, split_part(url, '/', 3) AS host FROM pages WHERE url LIKE 'http%' AND split_part(url, '/', 1) IN ('http:', 'https:')")
+def flt20_path_predicate(spark, d):
+    return _t(spark, d, "pages").where(filters.starts_in(F.col("url"), ["http:", "https:"])).select("page_id", F.split("url", "/")[2].alias("host"))
+
+
+# ---- aggregation ------------------------------------------------------------------------------
+
+
+@query("""SELECT l_orderkey, count(*) AS total, count_if(l_quantity > 25) AS selected,
+  (count_if(l_quantity > 25) BETWEEN 1 AND count(*) - 1) OR ((count_if(l_quantity > 25) > 0) <> (l_orderkey % 2 = 0)) AS gray FROM lineitem GROUP BY l_orderkey""")
+def agg2_tri_state(spark, d):
+    return diff.tri_state(_t(spark, d, "lineitem"), "l_orderkey", F.col("l_quantity") > 25, F.col("l_orderkey") % 2 == 0)
+
+
+@query("SELECT count(*) AS total, count_if(c_acctbal > 0) AS selected, bool_or(c_acctbal < -900) AS any_low FROM customer")
+def agg1_counts(spark, d):
+    return _t(spark, d, "customer").agg(F.count("*").alias("total"), F.count_if(F.col("c_acctbal") > 0).alias("selected"), F.bool_or(F.col("c_acctbal") < -900).alias("any_low"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
+def agg4_group_lists(spark, d):
+    return ordering.group_lists(_t(spark, d, "nation"), "n_regionkey", "n_nationkey", "n_name").select("n_regionkey", F.array_join("values", ",").alias("names"))
+
+
+@query("SELECT n_nationkey, n_regionkey, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS group_pos FROM nation")
+def agg5_group_flatten(spark, d):
+    return ordering.group_flatten_order(_t(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey", "n_nationkey").orderBy("group_pos", "n_nationkey")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event_type FROM events GROUP BY 1")
+def agg6_last_actor(spark, d):
+    return ev.last_per_key(_t(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"])
+
+
+@query("SELECT event_type, user_id % 10 AS label, ts::DATE::VARCHAR AS day, count(*) AS n FROM events GROUP BY ALL")
+def agg8_daily_counts(spark, d):
+    return ev.daily_counts(_t(spark, d, "events").withColumn("label", F.col("user_id") % 10), ["event_type", "label"]).withColumn("day", F.col("day").cast("string"))
+
+
+@query("""WITH d AS (SELECT event_type, ts::DATE::VARCHAR AS day, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, day, n FROM d
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY day DESC) = 1""")
+def agg8_current_counters(spark, d):
+    return ev.current_counters(_t(spark, d, "events"), ["event_type"]).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT ts::DATE::VARCHAR AS day, sum(event_id % 7)::BIGINT AS total FROM events GROUP BY 1 HAVING sum(event_id % 7) > 0")
+def agg9_day_rollover(spark, d):
+    return ev.rollover(_t(spark, d, "events").withColumn("v", F.col("event_id") % 7), "v").select(F.col("day").cast("string").alias("day"), "total")
+
+
+@query("""WITH p AS (SELECT page_id, string_split(split_part(url, '://', 2), '/') AS s FROM pages),
+u AS (SELECT unnest(range(1, len(s) + 1)) AS i, s FROM p) SELECT DISTINCT array_to_string(s[:i - 1], '/') AS parent, array_to_string(s[:i], '/') AS child FROM u""")
+def agg13_result_tree(spark, d):
+    return index.result_tree(_t(spark, d, "pages").select(F.split("url", "://")[1].alias("path")), "path")
+
+
+# ---- ordering ----------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_mktsegment, c_acctbal, c_nationkey FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 200")
+def ord1_sort_stack(spark, d):
+    stack = ordering.SortStack().choose("c_custkey").choose("c_acctbal").choose("c_acctbal").choose("c_mktsegment")
+    return stack.sort(_t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")).limit(200)
+
+
+@query("SELECT user_id, max(ts) AS last_used FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
+def lim1_most_recent(spark, d):
+    return ordering.most_recent(_t(spark, d, "events"), "user_id", "ts", 200)
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 11")
+def lim3_newest_per_group(spark, d):
+    return ordering.newest_per_group(_t(spark, d, "events").select("event_id", "user_id"), "user_id", F.desc("event_id"), 11)
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS rank FROM part ORDER BY 2, 1 LIMIT 100""")
+def ord5_rank_sort(spark, d):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("SCHEMA", "TABLE", "VIEW", "INDEX")]), (F.col("p_size") % 4 + 1).cast("int"))
+    return _t(spark, d, "part").select("p_partkey", ordering.rank_of(kind).alias("rank")).orderBy("rank", "p_partkey").limit(100)
+
+
+# ---- graph and index -----------------------------------------------------------------------------
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d).where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"))
+
+
+@query(f"""WITH RECURSIVE {_NODES}, r(id, depth) AS (SELECT 'r1', 0 UNION ALL SELECT n.id, r.depth + 1 FROM r JOIN n ON n.parent_id = r.id WHERE r.depth < 2)
+SELECT id, min(depth)::INT AS depth FROM r GROUP BY 1""")
+def grf1_closure(spark, d):
+    return graph.closure(_edges(spark, d), spark.createDataFrame([("r1",)], "id string"), 2)
+
+
+@query(f"""WITH RECURSIVE {_NODES}, r(id) AS (SELECT id FROM n WHERE id LIKE 'o%99' UNION SELECT n.parent_id FROM r JOIN n ON n.id = r.id WHERE n.parent_id IS NOT NULL)
+SELECT id FROM r WHERE id NOT LIKE 'o%99'""")
+def grf5_required_by_selection(spark, d):
+    up = _edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.required_by_selection(up, _nodes(spark, d).where("id LIKE 'o%99'")).select("id")
+
+
+@query(f"WITH {_NODES} SELECT id, CASE left(id, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 WHEN 'c' THEN 2 ELSE 3 END::INT AS layer FROM n")
+def mut3_dependency_layers(spark, d):
+    up = _edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.layers(up, _nodes(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_NODES}, r(id) AS (SELECT 'n3' UNION ALL SELECT n.id FROM r JOIN n ON n.parent_id = r.id) SELECT id FROM r""")
+def grf6_subtree(spark, d):
+    return graph.propagate_down(_nodes(spark, d), spark.createDataFrame([("n3",)], "id string")).select("id")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, upper(c_name) || '!' FROM customer WHERE c_custkey % 10 = 0")
+def idx5_incremental(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", "c_name")
+    changed = c.where("c_custkey % 10 = 0").withColumn("c_name", F.concat(F.upper("c_name"), F.lit("!")))
+    return index.incremental(c, changed, c.where("c_custkey % 10 = 5"), "c_custkey")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) >= 10 THEN 'X' || substr(text, 4, 4) || 'YY' || substr(text, 9) ELSE text END AS text FROM documents")
+def mut1_rewrite(spark, d):
+    t = _t(spark, d, "documents").select("doc_id", "text")
+    edit = lambda at, n, new: F.struct(F.lit(at).alias("offset"), F.lit(n).alias("length"), F.lit(new).alias("new_text"))
+    edits = t.where(F.length("text") >= 10).select("doc_id", F.explode(F.array(edit(7, 1, "YY"), edit(0, 3, "X"))).alias("e")).select("doc_id", "e.*")
+    return index.rewrite(t, edits, "doc_id")
+
+
+@query("SELECT doc_id, string_split(text, chr(10))[3] AS line FROM documents")
+def src15_nth_line(spark, d):
+    return _t(spark, d, "documents").select("doc_id", index.nth_line(F.col("text"), 2).alias("line"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3")
+def mut4_concurrency_check(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", F.col("c_name").alias("text"))
+    return index.unchanged(c, c.withColumn("text", F.when(F.col("c_custkey") % 10 == 3, F.concat("text", F.lit("x"))).otherwise(F.col("text"))), "c_custkey")
+
+
+# ---- events --------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) - ts >= INTERVAL 6 HOUR, true)")
+def str1_debounce(spark, d):
+    return ev.debounce(_t(spark, d, "events"), "user_id", 6 * 3600 * 1000).select("event_id", "user_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-06-01' - INTERVAL 132 DAY")
+def str3_ttl(spark, d):
+    return ev.unexpired(_t(spark, d, "events"), F.lit("2024-06-01").cast("timestamp_ntz")).select("event_id")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def str2_tumbling(spark, d):
+    return ev.tumbling(_t(spark, d, "events"), "1 hour", ["event_type"])
+
+
+# ---- rendering -------------------------------------------------------------------------------------
+
+
+@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 60 THEN substr(t, 1, 60) || ' <...> ' ELSE t END AS preview FROM f""")
+def prj6_preview(spark, d):
+    return _t(spark, d, "documents").select("doc_id", formatting.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT vec_id, '[' || label || ', NULL, {a=' || vec_id || ', b=NULL}]' AS text FROM embeddings")
+def prj8_render_nested(spark, d):
+    kind = T.ArrayType(T.StringType())
+    inner = F.create_map(F.lit("a"), F.col("vec_id").cast("string"), F.lit("b"), F.lit(None).cast("string"))
+    value = F.array(F.col("label").cast("string"), F.lit(None).cast("string"), formatting.render(inner, T.MapType(T.StringType(), T.StringType())))
+    return _t(spark, d, "embeddings").select("vec_id", formatting.render(value, kind).alias("text"))
+
+
+@query("""SELECT conv_id, turn, '''' || conv_id || ''',''' || replace(role, '''', '''''') || ''',' || CASE WHEN turn % 3 = 0 THEN 'NULL' ELSE '''' || replace(text, '''', '''''') || '''' END AS line FROM conversations""")
+def prj9_csv_line(spark, d):
+    c = _t(spark, d, "conversations")
+    return c.select("conv_id", "turn", formatting.csv_line(F.col("conv_id"), F.col("role"), F.when(F.col("turn") % 3 != 0, F.col("text"))).alias("line"))
+
+
+@query("SELECT string_agg('^' || r_name || '$', '|' ORDER BY r_name) || '|^\\Qa.b\\E$' AS pattern FROM region")
+def prj10_selection_pattern(spark, d):
+    names = F.array_append(F.sort_array(F.collect_list("r_name")), F.lit("a.b"))
+    return _t(spark, d, "region").agg(formatting.selection_pattern(names).alias("pattern"))
+
+
+@query("SELECT s_suppkey, 'jdbc:postgresql://' || s_name || ':5432/db' AS pg, 'jdbc:sqlserver://' || s_name || ':1433;databaseName={db}' AS ms, 'TBL ' || s_name AS label, CASE WHEN s_suppkey % 2 = 0 THEN '*' ELSE '' END || s_name AS owner FROM supplier")
+def prj11_urls_and_labels(spark, d):
+    n = F.col("s_name")
+    return _t(spark, d, "supplier").select("s_suppkey", formatting.connection_url("PG", n, F.lit(5432), F.lit("db")).alias("pg"), formatting.connection_url("MS", n, F.lit(1433), F.lit("db")).alias("ms"), formatting.node_label(F.lit("TABLE"), n).alias("label"), formatting.user_label(n, F.col("s_suppkey") % 2 == 0).alias("owner"))
+
+
+@query("""SELECT 'INSERT INTO region (r_regionkey, r_name)' || chr(10) || 'VALUES' || chr(10) || string_agg('(' || r_regionkey || ', ''' || r_name || '''::text)', ',' || chr(10) ORDER BY r_regionkey) || ';' AS script FROM region""")
+def snk1_insert_script(spark, d):
+    return generate.insert_script(_t(spark, d, "region").select("r_regionkey", "r_name"), "region", "r_regionkey", {"r_name": "text"})
+
+
+# ---- generated rows ----------------------------------------------------------------------------------
+
+
+@query("""SELECT 5 + i * 3 AS i, (1.5 + i * 0.25)::DOUBLE AS r, (DATE '2020-01-01' + (i * 2)::INT)::VARCHAR AS d, (86399000000 + i * 1000000) % 86400000000 AS t, TIMESTAMP '2020-01-01' + to_milliseconds(i * 1500) AS ts, i = 0 AS b, NULL::VARCHAR AS x, 'k' AS c, 'data' AS a
+FROM range(1000) t(i)""")
+def gen_increment_constant(spark, d):
+    import datetime as dt
+
+    s, inc = generate.ColumnSpec, generate.INCREMENT
+    specs = [
+        s("i", "integer", inc, 5, step=3), s("r", "double", inc, 1.5, step=0.25), s("d", "date", inc, dt.date(2020, 1, 1), step=2), s("t", "time", inc, 86_399_000_000),
+        s("ts", "timestamp", inc, dt.datetime(2020, 1, 1), step=1500), s("b", "boolean", inc, True), s("c", "text", generate.CONSTANT, "k"), s("a", "other", generate.ANY),
+    ]
+    return generate.generate(spark, specs, 1000).withColumn("x", F.lit(None).cast("string")).withColumn("i", F.col("i").cast("bigint")).withColumn("d", F.col("d").cast("string"))
+
+
+@query("SELECT 1000::BIGINT AS n, 1000::BIGINT AS ids, true AS bounds, true AS bits, true AS texts, true AS nulls, true AS dates")
+def gen_random(spark, d):
+    s = generate.ColumnSpec
+    specs = [s("i", "integer", start=-500, end=499, unique=True), s("j", "integer", start=400, end=410), s("b", "bit", length=5, not_null=True), s("t", "text", length=9, not_null=True), s("u", "text", length=3, unique=True), s("d", "date", not_null=True), s("js", "json", length=6)]
+    g = generate.generate(spark, specs, 1000, 3)
+    ok = lambda c: F.bool_and(c)
+    return g.agg(
+        F.count("*").alias("n"), F.count_distinct("i").alias("ids"), (ok(F.col("i").between(-500, 499)) & ok(F.coalesce(F.col("j").between(400, 410), F.lit(True))) & (F.count_distinct("u") == 1000)).alias("bounds"), ok(F.col("b").rlike("^[01]{5}$")).alias("bits"),
+        ok(F.col("t").rlike("^[a-z][a-z ]{0,8}$") & ~F.contains("t", F.lit("  "))).alias("texts"), F.count_if(F.col("j").isNull()).between(10, 120).alias("nulls"), ok(F.year("d").between(1970, 2070)).alias("dates"),
+    )
+
+
+# ---- functions of the dialect -------------------------------------------------------------------------
+
+
+@query(r"""SELECT p_partkey, log10(p_retailprice) AS lg, trunc(-p_retailprice)::DOUBLE AS tr, concat(p_brand, NULL, p_type) AS cc, regexp_replace(p_name, '([aeiou])', '<\1>') AS r1, regexp_replace(p_name, '([aeiou])', '<\1>', 'g') AS rg, p_size // 4 AS dv, substr(p_name, 1, 1) AS sb, chr(1040 + p_size) AS ch, lower(hex(p_brand)) AS hx FROM part""")
+def fn_dialect(spark, d):
+    p, c = _t(spark, d, "part"), F.col
+    return p.select(
+        "p_partkey", dialect.pg_log(c("p_retailprice")).alias("lg"), dialect.pg_trunc(-c("p_retailprice")).alias("tr"), dialect.pg_concat(c("p_brand"), F.lit(None).cast("string"), c("p_type")).alias("cc"), dialect.pg_regexp_replace(c("p_name"), "([aeiou])", r"<\1>").alias("r1"),
+        dialect.pg_regexp_replace(c("p_name"), "([aeiou])", r"<\1>", "g").alias("rg"), dialect.pg_div(c("p_size"), F.lit(4)).cast("int").alias("dv"), dialect.pg_substr(c("p_name"), F.lit(-1), F.lit(3)).alias("sb"), dialect.pg_chr(c("p_size") + 1040).alias("ch"), dialect.pg_encode(c("p_brand"), "hex").alias("hx"),
+    )
+
+
+@query("""SELECT o_orderpriority, sum(o_orderkey)::BIGINT AS s, count(CASE WHEN o_orderkey % 3 = 0 THEN 1 END) AS n3, max(dayofweek(o_orderdate))::INT AS dow, len(list(CASE WHEN o_orderkey % 3 = 0 THEN 1 END))::INT AS with_nulls FROM orders GROUP BY 1""")
+def fn_dialect_aggregates(spark, d):
+    third = F.when(F.col("o_orderkey") % 3 == 0, 1)
+    return _t(spark, d, "orders").groupBy("o_orderpriority").agg(dialect.pg_sum(F.col("o_orderkey")).cast("bigint").alias("s"), F.count(third).alias("n3"), F.max(dialect.pg_dow(F.col("o_orderdate"))).alias("dow"), F.size(dialect.pg_array_agg(third)).alias("with_nulls"))
+
+
+@query("SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, lag(o_orderkey) OVER w AS prev, ntile(4) OVER w AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def fn_window(spark, d):
+    return _sql(spark, d, "orders", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, lag(o_orderkey) OVER w AS prev, ntile(4) OVER w AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+
+
+@query("SELECT event_type, (props->>'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL")
+def fn_json(spark, d):
+    return _t(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("n"))
+
+
+# ---- the SQL surface ------------------------------------------------------------------------------------
+
+
+def _sql(spark: SparkSession, d: str, tables: str, text: str) -> DataFrame:
+    """Runs a script over views of the tables; its last statement is the result."""
+    for t in tables.split():
+        _t(spark, d, t).createOrReplaceTempView(t)
+    return scripts.run_script(spark, text)
+
+
+def _both(name: str, tables: str, text: str, oracle: str | None = None) -> None:
+    def run(spark, d):
+        return _sql(spark, d, tables, text)
+
+    run.__name__ = name
+    query(oracle or text)(run)
+
+
+_both("sql6_case", "lineitem", "SELECT l_returnflag, CASE l_linestatus WHEN 'O' THEN 'open' ELSE 'final' END AS status, sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS big FROM lineitem GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, CASE l_linestatus WHEN 'O' THEN 'open' ELSE 'final' END AS status, sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END)::BIGINT AS big FROM lineitem GROUP BY l_returnflag, l_linestatus")
+_both("sql7_group_by", "orders", scripts.fill("group", column="o_orderstatus", table="orders"))
+_both("sql9_grouping_sets", "customer", "SELECT c_mktsegment, c_nationkey, count(*) AS n, max(c_acctbal) AS hi FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
+_both("sql17_recursive", "nation", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT r.n, n_name FROM r JOIN nation ON n_nationkey = r.n")
+_both("sql18_lateral", "region nation", "SELECT r_name, x.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey AND n_name > 'I') x")
+_both("sql19_ordinality", "documents", "SELECT doc_id, pos + 1 AS ord, line FROM documents LATERAL VIEW posexplode(split(text, '\\n')) t AS pos, line", "SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS ord, unnest(string_split(text, chr(10))) AS line FROM documents")
+_both("sql25_constraints", "orders lineitem", "SELECT 'fk' AS kind, count(*) AS n FROM lineitem LEFT ANTI JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'unique', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'check', count(*) FROM lineitem WHERE NOT l_quantity > 1", "SELECT 'fk' AS kind, count(*) AS n FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'unique', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'check', count(*) FROM lineitem WHERE NOT l_quantity > 1")
+_both("sql13_lambda_function", "part", "CREATE OR REPLACE TEMPORARY FUNCTION plus_three(a INT) RETURNS INT RETURN a + 3; SELECT p_partkey, plus_three(p_size) AS s FROM part", "SELECT p_partkey, p_size + 3 AS s FROM part")
+_both("sql14_clamped_sum", "part", "CREATE OR REPLACE TEMPORARY FUNCTION clamped_sum(a INT, b INT) RETURNS INT RETURN greatest(a + b, 0); SELECT p_partkey, clamped_sum(p_size, -20) AS s FROM part", "SELECT p_partkey, greatest(p_size - 20, 0) AS s FROM part")
+_both("sql16_aggregate", "part", "SELECT p_brand, aggregate(collect_list(p_size), 0, (a, x) -> a + x, a -> a * 1.0D) / count(p_size) AS mean FROM part GROUP BY p_brand", "SELECT p_brand, sum(p_size)::DOUBLE / count(p_size) AS mean FROM part GROUP BY p_brand")
+_both("sql26_sequence", "nation", "SELECT n_nationkey, 555888 + 555 * (row_number() OVER (ORDER BY n_nationkey) - 1) AS id FROM nation")
+_both("sql8_order_nulls", "events", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS v FROM events ORDER BY v ASC NULLS LAST, event_id LIMIT 50")
+_both("sql2_dml", "region", "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'X' ELSE r_name END AS r_name FROM region WHERE NOT r_regionkey = 2 UNION ALL SELECT 9, 'NEW'")
+
+
+@query("SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)) GROUP BY 1")
+def sql29_dependent_rows(spark, d):
+    c = _t(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    o = _t(spark, d, "orders").join(c, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
+    return _t(spark, d, "lineitem").join(o, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
