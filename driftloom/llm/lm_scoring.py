@@ -28,19 +28,23 @@ from .common import _STEP, blocks, hash_words, materialize, mix64, partitions
 
 ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
 #: Tokens of a chunk, about, and distinct n-grams of a part of the count tables, about.
-CHUNK_TOKENS, PART_GRAMS = 1_500_000, 3_000_000
+CHUNK_TOKENS, PART_GRAMS = 1_000_000, 2_000_000
 #: Bits kept of a hash.
 HASH_BITS = 56
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Unsigned integers as planes of bytes, which compress well where the high ones are equal."""
+    """Unsigned integers as planes of bytes, as many as the largest needs, after a byte with their number."""
     x = x.astype("<u8")
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view("<u8").reshape(-1)
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -51,14 +55,6 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b), dtype=np.uint64)
 
 
-def pack_tokens(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def unpack_tokens(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
-
-
 def _levels(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(level, place of the last word, hash) of all n-grams of 1 to ``order`` words within documents."""
     w = words[tokens]
@@ -87,11 +83,11 @@ def records(docs: DataFrame, id_col: str, text_col: str, chunk_tokens: int = CHU
         def flush() -> pa.RecordBatch:
             words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"{task}-{k}"]), pa.array([ids], pa.list_(type_)), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack_sorted(words)]), pa.array([pack_tokens(tokens.reshape(-1))])],
+                [pa.array([f"{task}-{k}"]), pa.array([ids], pa.list_(type_)), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack_sorted(words)]), pa.array([pack(tokens.reshape(-1))])],
                 names=["chunk", "ids", "sizes", "words", "tokens"],
             )
 
-        for b in batches:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             type_ = b.schema.field(0).type
             own, texts = b.column(0).to_pylist(), [(t or "").encode().lower() for t in b.column(1).to_pylist()]
             for a, z in blocks(texts):
@@ -114,12 +110,12 @@ def requests(corpus: DataFrame, order: int, parts: int) -> DataFrame:
         bounds = np.array([(p << HASH_BITS) // parts for p in range(1, parts)], np.uint64)
         for b in batches:
             for chunk, sizes, words, tokens in zip(*(b.column(c).to_pylist() for c in ("chunk", "sizes", "words", "tokens")), strict=True):
-                for level, _, h in _levels(unpack_sorted(words), unpack_tokens(tokens), np.array(sizes, np.int64), order):
+                for level, _, h in _levels(unpack_sorted(words), unpack(tokens).astype(np.uint32), np.array(sizes, np.int64), order):
                     grams, counts = np.unique(h, return_counts=True)
                     cut = [0, *np.searchsorted(grams, bounds).tolist(), len(grams)]
                     spans = [(p, x, y) for p, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([level] * len(spans), pa.int32()), pa.array([p for p, _, _ in spans], pa.int32()), pa.array([chunk] * len(spans), pa.string()), pa.array([pack_sorted(grams[x:y]) for _, x, y in spans], pa.binary()), pa.array([pack_tokens(counts[x:y]) for _, x, y in spans], pa.binary())],
+                        [pa.array([level] * len(spans), pa.int32()), pa.array([p for p, _, _ in spans], pa.int32()), pa.array([chunk] * len(spans), pa.string()), pa.array([pack_sorted(grams[x:y]) for _, x, y in spans], pa.binary()), pa.array([pack(counts[x:y]) for _, x, y in spans], pa.binary())],
                         names=["level", "part", "chunk", "grams", "counts"],
                     )
 
@@ -133,7 +129,7 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(every, kind="stable")
     every = every[order]
     first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    counts = np.concatenate([unpack_tokens(c) for c in rows["counts"]])[order].astype(np.int64)
+    counts = np.concatenate([unpack(c) for c in rows["counts"]])[order].astype(np.int64)
     totals, keys = np.add.reduceat(counts, first), every[first]
     return pd.DataFrame({"chunk": rows["chunk"], "level": rows["level"], "part": rows["part"], "totals": [pack(totals[np.searchsorted(keys, g)]) for g in grams]})
 
@@ -142,7 +138,7 @@ def _score(order: int, backoff: float, min_count: int, all_tokens: int):
     def run(key, corpus: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for ids, sizes, words, tokens in zip(corpus["ids"], corpus["sizes"], corpus["words"], corpus["tokens"], strict=True):
-            sizes, tokens = np.asarray(sizes, np.int64), unpack_tokens(tokens)
+            sizes, tokens = np.asarray(sizes, np.int64), unpack(tokens).astype(np.uint32)
             total = {}
             for level, own in answers.sort_values(["level", "part"]).groupby("level"):
                 total[level] = np.concatenate([unpack(t) for t in own["totals"]]).astype(np.float64)
