@@ -34,6 +34,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts stay small: the session's limit of rows is lowered to ``rows`` if it is higher.
+
+    Batches are cut by rows when a plan runs, so this is a setting of the session, not of one DataFrame.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def release(*frames: DataFrame | None) -> None:
     """Deletes what ``materialize`` wrote, once nothing reads it any more."""
     for df in frames:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, small_batches
 
 N, BITS, HASHES = 4, 1 << 19, 3
 #: Training rows per language, about, at most; chosen by a hash of their text.
@@ -171,6 +171,7 @@ def identify(docs: DataFrame, model: LanguageFilters, id_col: str = "doc_id", te
                 scores.append(y)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate([np.empty(0), *scores]))], names=["id", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)

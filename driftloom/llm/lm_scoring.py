@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _STEP, blocks, hash_words, materialize, mix64, partitions
+from .common import _STEP, blocks, hash_words, materialize, mix64, partitions, small_batches
 
 ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
 #: Tokens of a chunk, about, and distinct n-grams of a part of the count tables, about.
@@ -102,6 +102,7 @@ def records(docs: DataFrame, id_col: str, text_col: str, chunk_tokens: int = CHU
         if ids:
             yield flush()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"chunk string, ids array<{kind}>, sizes array<long>, words binary, tokens binary")
 
 

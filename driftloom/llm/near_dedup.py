@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, hash_grams, hash_words, materialize, mix64, release
+from .common import blocks, hash_grams, hash_words, materialize, mix64, release, small_batches
 
 SHINGLE, SKETCH, RETAIN, SEEN_NODES = 5, 64, 32, 200_000
 #: Lists up to this length are compared pair by pair, longer ones in blocks of so many members.
@@ -89,6 +89,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, se
                 names=["id", "n", "node", "chk", "sketch"],
             )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, node long, chk long, sketch array<long>")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release
+from .common import materialize, release, small_batches
 
 #: Lines of fewer words are never removed: they are structure (headings, list marks) rather than copied content.
 MIN_WORDS = 5
@@ -79,4 +79,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [b.column(j) if j != k else pa.array(texts, pa.string()) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(r) for r in removed], pa.int32()), pa.array(removed, spans)], names=[*names, "n_removed", "removed"])
 
+    small_batches(docs.sparkSession)
     return both.select(*names, "__cuts").mapInArrow(run, schema)

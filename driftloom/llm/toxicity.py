@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, small_batches
 
 BUCKETS, WINDOW, DECAY = 1 << 20, 5, 0.6
 #: Places of the characters after the first: three within WINDOW, and four with one skipped at most.
 COMBOS = [(j, k) for k in range(2, WINDOW) for j in range(1, k)] + [(1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)]
 #: Labelled rows of each class, about, that training reads at most; characters of them kept on the driver at most.
-SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 20_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 1_200, 16_000_000
 LANDMARKS, ROUNDS, CACHE_WORDS = 320, 4, 400_000
 STRIP = ".,;:!?\"'()[]{}<>*_-~`"
 
@@ -109,7 +109,7 @@ class Landmarks:
         return out
 
     def map(self, words: list[str]) -> np.ndarray:
-        return self.kernel(words) @ self.white
+        return self.kernel(words) @ self.white.astype(np.float32)
 
     def collapse(self, w: np.ndarray) -> np.ndarray:
         """Weight of each bucket for the SVM weights w in the landmarks' space."""
@@ -120,15 +120,20 @@ class Landmarks:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM in the primal by Newton steps over the support vectors; y is 1 or -1."""
-    x1 = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    w = np.zeros(x1.shape[1])
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    w = np.zeros(x.shape[1])
     eye = ridge * np.eye(len(w))
     eye[-1, -1] = 1e-6
     for _ in range(30):
-        active = y * (x1 @ w) < 1
-        xa, wa = x1[active], weight[active]
-        new = np.linalg.solve(eye + (xa * wa[:, None]).T @ xa, (xa * wa[:, None]).T @ y[active])
-        if np.allclose(new, w, atol=1e-7):
+        active = np.flatnonzero(y * (x @ w.astype(np.float32)) < 1)
+        gram, rhs = eye.copy(), np.zeros(len(w))
+        for a in range(0, len(active), 4000):
+            part = x[active[a : a + 4000]].astype(np.float64)
+            own = part * weight[active[a : a + 4000], None]
+            gram += own.T @ part
+            rhs += own.T @ y[active[a : a + 4000]]
+        new = np.linalg.solve(gram, rhs)
+        if np.allclose(new, w, atol=1e-6):
             break
         w = new
     return w[:-1], float(w[-1])
@@ -311,6 +316,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the column ``name``: 0 to 1, higher for likelier toxic.  Null, empty and wordless texts score low."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
     @F.pandas_udf("double")
