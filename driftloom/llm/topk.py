@@ -2,10 +2,10 @@
 
 Queries and candidates are dealt into blocks of bounded size and each pair of blocks is one task.  In a block each
 dimension is a list of candidates sorted by its component, read from the end that suits the sign of the query's.
-Lists are read in rounds of growing depth, in parallel; a candidate's upper bound fills unseen dimensions with the
-value where its list stands, its lower bound with the block's least.  Once the k-th lower bound exceeds the upper bound
-of all others, reading stops and the remaining candidates' scores are resolved.  Ties stay in the running, so the
-result is exact; blocks' results are merged per query.
+The first rows of a block are read to the end; their k-th best score is the lower bound to beat.  The other lists are
+read down in parallel, in rounds; a row's upper bound fills the dimensions in which it wasn't met with the value where
+the list stands.  Reading stops once few rows' upper bounds reach the lower bound, and only these scores are resolved.
+Ties stay in the running, so the result is exact; blocks' results are merged per query.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK, FIRST_DEPTH = 512, 8192, 64
+QUERY_BLOCK, CANDIDATE_BLOCK, FIRST_ROWS = 512, 8192, 1024
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
@@ -29,41 +29,38 @@ class SortedLists:
     """Candidates (n x d integers) as one ascending list per dimension."""
 
     def __init__(self, values: np.ndarray):
-        self.values = values
-        self.order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, 0)
-
-    def nra(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(candidates, exact scores) that contain the k best; ``skip`` marks rows that take no part."""
-        n, d = self.values.shape
+        # inner products of these are exact in double precision where they stay below 2**53
+        top = float(np.abs(values).max(initial=0))
+        self.values = values.astype(np.float64) if top * top * 4 * max(1, values.shape[1]) < 2**53 else values
+        order = np.argsort(values, axis=0, kind="stable")
+        self.order, self.sorted = np.asfortranarray(order), np.asfortranarray(np.take_along_axis(values, order, 0).astype(np.float64))
+
+    def nra(self, query: np.ndarray, k: int, skip: np.ndarray, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(candidates, exact scores) with all that reach ``least``, the lower bound of the k-th best score so far;
+        ``skip`` marks rows that take no part."""
+        n = len(self.values)
         dims = np.flatnonzero(query)
-        if n <= k or not len(dims):
-            return np.arange(n), self.values @ query
-        partial = np.zeros(n, np.float64)
-        seen = np.zeros((len(dims), n), np.float32)
-        worst = np.array([query[j] * (self.sorted[0, j] if query[j] > 0 else self.sorted[-1, j]) for j in dims], np.float64)
-        depth, alive = 0, np.arange(n)
-        while depth < n:
-            upto = min(n, max(FIRST_DEPTH, n // 16) if depth == 0 else depth * 2)
-            front = np.empty(len(dims))
-            for i, j in enumerate(dims):
+        alive = np.flatnonzero(~skip)
+        if np.isneginf(least) or n <= k or not len(dims):
+            return alive, self.scores(alive, query)
+        for upto in (n // 2, n * 3 // 4, n):
+            upper, front = np.zeros(n), 0.0
+            for j in dims:
                 q = query[j]
-                at = self.order[n - upto : n - depth, j] if q > 0 else self.order[depth:upto, j]
-                got = self.sorted[n - upto : n - depth, j] if q > 0 else self.sorted[depth:upto, j]
-                partial[at] += q * got
-                seen[i, at] = 1
-                front[i] = q * (got[0] if q > 0 else got[-1])
-            depth = upto
-            slack = 1 + 1e-5 * (abs(front).sum() + abs(worst).sum())  # single precision of the two products below
-            bounds = np.stack([front, worst]).astype(np.float32) @ seen
-            upper = partial + (front.sum() - bounds[0]) + slack
-            lower = partial + (worst.sum() - bounds[1]) - slack
-            lower[skip] = -np.inf
-            least = np.partition(lower, n - k)[n - k]
-            alive = np.flatnonzero((upper >= least) & ~skip)
-            if len(alive) <= max(4 * k, n // 8):  # outsiders cannot qualify
+                at, got = (self.order[n - upto :, j], self.sorted[n - upto :, j]) if q > 0 else (self.order[:upto, j], self.sorted[:upto, j])
+                stand = q * (got[0] if q > 0 else got[-1])  # what an unseen row has here at most
+                front += stand
+                upper[at] += q * got - stand
+            slack = 1e-9 * (1 + abs(front))
+            alive = np.flatnonzero((upper + (front + slack) >= least) & ~skip)
+            if len(alive) <= max(4 * k, n // 2):  # the others cannot qualify any more
                 break
-        return alive, self.values[alive] @ query
+        return alive, self.scores(alive, query)
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products."""
+        small = self.values.dtype == np.float64 and float(np.abs(query).max(initial=0)) * float(np.abs(self.values).max(initial=0)) * len(query) < 2**53
+        return (self.values[rows] @ query.astype(np.float64)).astype(np.int64) if small else self.values[rows].astype(np.int64) @ query
 
 
 def _pair(k: int, n_dims: int):
@@ -72,12 +69,18 @@ def _pair(k: int, n_dims: int):
         if len(queries) and len(rows):
             ids = rows["id"].to_numpy(np.int64)
             pad = lambda col: np.array([np.pad(np.asarray(v, np.int64), (0, n_dims - len(v))) for v in col]).reshape(len(col), n_dims)
-            lists = SortedLists(pad(rows["v"]))
+            values = pad(rows["v"])
+            cuts = [slice(0, FIRST_ROWS), slice(FIRST_ROWS, len(ids))] if len(ids) > 2 * FIRST_ROWS else [slice(0, len(ids))]
+            lists = [(c.start, SortedLists(values[c])) for c in cuts]
             for q, v in zip(queries["id"].to_numpy(np.int64), pad(queries["v"]), strict=True):
-                own = ids == q
-                at, score = lists.nra(v, k, own)
-                ok = ~own[at]
-                at, score = at[ok], score[ok]
+                own, least = ids == q, -np.inf
+                parts = []
+                for start, part in lists:
+                    at, score = part.nra(v, k, own[start : start + len(part.values)], least)
+                    parts.append((at + start, score))
+                    if len(score) >= k:
+                        least = max(least, float(np.partition(score, len(score) - k)[len(score) - k]))
+                at, score = (np.concatenate(x) for x in zip(*parts, strict=True))
                 best = np.lexsort((ids[at], -score))[:k]
                 out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
@@ -91,7 +94,6 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     Rows with a null id or a vector that is null or holds a null or non-finite component take no part; shorter vectors
     count as filled up with 0; rows that repeat an id and a vector count once; a query never finds its own id.
     """
-    spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("v").isNotNull()).dropDuplicates(["id", "v"])
     size = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q"), F.max(F.size("v")).alias("d")).first()
@@ -103,5 +105,4 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     candidates = rows.select("id", "v", deal(nc, 2).alias("cb"), span(nq).alias("qb"))
     found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(_pair(k, size["d"] or 1), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    del spark
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

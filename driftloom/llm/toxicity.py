@@ -34,7 +34,7 @@ BUCKETS, WINDOW, DECAY = 1 << 20, 5, 0.6
 COMBOS = [(j, k) for k in range(2, WINDOW) for j in range(1, k)] + [(1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)]
 #: Labelled rows of each class, about, that training reads at most; characters of them kept on the driver at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 1_200, 16_000_000
-LANDMARKS, ROUNDS, CACHE_WORDS = 320, 4, 400_000
+LANDMARKS, ROUNDS, CACHE_WORDS = 480, 4, 400_000
 STRIP = ".,;:!?\"'()[]{}<>*_-~`"
 
 
@@ -118,7 +118,7 @@ class Landmarks:
         return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM in the primal by Newton steps over the support vectors; y is 1 or -1."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
     w = np.zeros(x.shape[1])
@@ -256,7 +256,7 @@ def fit_rows(rows: list[tuple[str | None, int]], prior: float | None = None, see
         extra = [v for w in positive[:400] for v in corrupted(w, rng, 4)]
         words = positive + extra + negative
         y = np.array([1.0] * (len(positive) + len(extra)) + [-1.0] * len(negative))
-        per = np.array([1.0 + min(60.0, apart[w] / 2) for w in positive] + [0.2] * len(extra) + [1.0] * len(negative))
+        per = np.array([1.0 + min(20.0, apart[w] / 5) for w in positive] + [0.2] * len(extra) + [1.0] * len(negative))
         per[y > 0] *= max(1.0, 0.25 * len(negative) / max(1, len(positive) + len(extra)))
         w, b = fit_svm(marks.map(words), y, per)
         model = ToxicityModel(marks.collapse(w), b, 1.0, 0.0)
