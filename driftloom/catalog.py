@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -478,3 +478,163 @@ def sql29_dependent_rows(spark, d):
     c = _t(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
     o = _t(spark, d, "orders").join(c, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
     return _t(spark, d, "lineitem").join(o, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
+
+
+# ---- more filters, lookups and graph queries -----------------------------------------------------------------
+
+
+@query(f"WITH {_NODES} SELECT id FROM n WHERE contains(lower(parent_id || '.' || id), 'n1.c')")
+def flt2_name_filter(spark, d):
+    n = _nodes(spark, d)
+    return n.where(filters.name_match(F.col("name"), F.concat_ws(".", "parent_id", "id"), "N1.c")).select("id")
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#12' AND len(string_split(p_brand || '/' || p_type || '/' || p_name || '.sql', '/')) = 3")
+def flt21_schema_file(spark, d):
+    path = F.concat_ws("/", "p_brand", "p_type", F.concat("p_name", F.lit(".sql")))
+    return _t(spark, d, "part").where(filters.is_schema_file(path, "Brand#12")).select("p_partkey")
+
+
+_STATES = f"""{_NODES}, s AS (SELECT id, parent_id, CASE WHEN right(id, 1) IN ('1', '3', '5', '7', '9') THEN 'LEFT' ELSE 'RIGHT' END AS side, id LIKE 'c%4' AS selected FROM n)"""
+
+
+@query(f"""WITH RECURSIVE {_STATES}, up(id) AS (SELECT parent_id FROM s WHERE selected UNION SELECT s.parent_id FROM up JOIN s ON s.id = up.id WHERE s.parent_id IS NOT NULL)
+SELECT id, side FROM s WHERE NOT selected AND (side = 'LEFT' AND parent_id IN (SELECT id FROM s WHERE selected) OR side = 'RIGHT' AND id IN (SELECT id FROM up))""")
+def flt24_unselected_dependents(spark, d):
+    side = F.when(F.right("id", F.lit(1)).isin("1", "3", "5", "7", "9"), "LEFT").otherwise("RIGHT")
+    return graph.unselected_dependents(_nodes(spark, d).select("id", "parent_id", side.alias("side"), F.col("id").like("c%4").alias("selected")))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def jon6_definition_lookup(spark, d):
+    return _t(spark, d, "part").join(_t(spark, d, "lineitem").where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 40 OR l_suppkey % 5 = p_partkey % 5")
+def jon9_rename_scope(spark, d):
+    parts = _t(spark, d, "part").select("p_partkey", "p_size")
+    scope = (F.col("p_size") > 40) | (F.col("l_suppkey") % 5 == F.col("p_partkey") % 5)
+    return _t(spark, d, "lineitem").join(parts, (F.col("l_partkey") == F.col("p_partkey")) & scope).select("l_orderkey", "l_linenumber")
+
+
+@query(f"""WITH {_SIDES} SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT l.c_custkey FROM l LEFT JOIN r USING (c_custkey)
+WHERE r.c_custkey IS NULL OR l.c_acctbal IS DISTINCT FROM r.c_acctbal OR l.c_mktsegment IS DISTINCT FROM r.c_mktsegment)""")
+def jon10_override_semi_join(spark, d):
+    changed = diff.two_sided_diff(*_sides(spark, d), ["c_custkey"]).where(F.col("side") != diff.RIGHT)
+    return _t(spark, d, "orders").join(changed, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+
+
+@query("""SELECT a.l_orderkey, a.l_linenumber, min(b.l_linenumber * 5)::BIGINT AS lo FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
+  AND a.l_quantity::BIGINT >= b.l_linenumber * 5 AND a.l_quantity::BIGINT < b.l_linenumber * 5 + 12 GROUP BY ALL""")
+def jon16_first_range(spark, d):
+    li = _t(spark, d, "lineitem")
+    points = li.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("at"))
+    ranges = li.select("l_orderkey", (F.col("l_linenumber") * 5).cast("bigint").alias("lo"), F.lit(12).cast("bigint").alias("len"))
+    return index.first_range(points, ranges, "l_orderkey", "at", "lo", "len", ["l_orderkey", "l_linenumber"], 16)
+
+
+@query(f"""WITH RECURSIVE {_NODES}, r(id) AS (SELECT id FROM n WHERE parent_id IN ('n3', 'n7') UNION ALL SELECT n.id FROM r JOIN n ON n.parent_id = r.id)
+SELECT id FROM r WHERE id NOT LIKE '%5'""")
+def grf2_drop_dependants(spark, d):
+    return graph.dependants_on_side(_edges(spark, d), spark.createDataFrame([("n3",), ("n7",)], "id string"), _nodes(spark, d).where("id NOT LIKE '%5'"))
+
+
+@query(f"WITH {_NODES} SELECT parent_id AS src, id AS dst FROM n WHERE parent_id LIKE 'n%'")
+def grf3_neighbours(spark, d):
+    return graph.neighbours(_edges(spark, d), _nodes(spark, d).where("id LIKE 'n%'"))
+
+
+@query(f"""WITH RECURSIVE {_NODES}, e AS (SELECT parent_id AS src, id AS dst FROM n WHERE parent_id IS NOT NULL UNION ALL SELECT 'extra', 'r1'),
+r(id, depth) AS (SELECT 'extra', 0 UNION ALL SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.id WHERE depth < 3) SELECT id, depth::INT AS depth FROM r""")
+def grf4_extra_edges(spark, d):
+    edges = _edges(spark, d).unionByName(spark.createDataFrame([("extra", "r1")], "src string, dst string"))
+    return graph.closure(edges, spark.createDataFrame([("extra",)], "id string"), 3)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 7 <> 0 UNION ALL SELECT DISTINCT o_custkey, -o_custkey FROM orders WHERE o_custkey % 7 = 0")
+def idx1_upsert(spark, d):
+    o = _t(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return index.upsert(o, o.where("o_custkey % 7 = 0").select("o_custkey", (-F.col("o_custkey")).alias("o_orderkey")).distinct(), "o_custkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 7 <> 0")
+def idx2_delete(spark, d):
+    return index.delete(_t(spark, d, "orders").select("o_custkey", "o_orderkey"), _t(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+
+
+@query("SELECT c_custkey AS o_custkey, count(o_orderkey)::INT AS n, coalesce(min(o_orderkey), -1) AS first FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def idx4_lookup(spark, d):
+    found = index.lookup(_t(spark, d, "orders"), _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "o_orderkey")
+    return found.select("o_custkey", F.size("values").alias("n"), F.coalesce(F.get("values", F.lit(0)), F.lit(-1)).alias("first"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_custkey % 2 <> 0 ELSE c_custkey % 2 = 0 END AS selected FROM customer")
+def mut5_invert_selection(spark, d):
+    selected = F.col("c_custkey") % 2 == 0
+    return _t(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, ~selected).otherwise(selected).alias("selected"))
+
+
+@query("SELECT user_id, bool_or(event_type IN ('click', 'view', 'error')) AS changed, bool_or(event_type = 'error') AS untracked FROM events GROUP BY 1")
+def agg7_status_flags(spark, d):
+    return ev.status_flags(_t(spark, d, "events"), "user_id", "event_type", ["click", "view"], "error")
+
+
+@query("SELECT DISTINCT event_type AS component, user_id % 10 AS action FROM events")
+def agg10_distinct_types(spark, d):
+    return ev.distinct_types(_t(spark, d, "events").select(F.col("event_type").alias("component"), (F.col("user_id") % 10).alias("action"), "ts")).select("component", "action")
+
+
+@query("SELECT p_partkey, p_brand, p_type, p_size FROM part ORDER BY p_type, p_brand, p_size, p_partkey LIMIT 100")
+def ord2_default_order(spark, d):
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").alias("change"), F.col("p_brand").alias("type"), F.col("p_type").alias("location"))
+    return ordering.default_stack().sort(p).limit(100).select(F.col("name").alias("p_partkey"), F.col("type").alias("p_brand"), F.col("location").alias("p_type"), F.col("change").alias("p_size"))
+
+
+@query("SELECT c_custkey, c_acctbal > 0 AS checked FROM customer ORDER BY checked DESC, c_custkey LIMIT 100")
+def ord3_true_first(spark, d):
+    stack = ordering.SortStack().choose("c_custkey").choose("checked")
+    return stack.sort(_t(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("checked")), ("checked",)).limit(100)
+
+
+@query("SELECT page_id, url FROM pages ORDER BY url LIKE '%/' DESC, url, page_id LIMIT 50")
+def ord9_directories_first(spark, d):
+    return ordering.by_directory(_t(spark, d, "pages").select("page_id", "url"), F.col("url").endswith("/"), "url", "page_id").limit(50)
+
+
+@query("SELECT event_id, event_type || ' ' || user_id AS label, (row_number() OVER (PARTITION BY user_id ORDER BY event_id))::INT AS row FROM events")
+def prj5_outline_and_row_number(spark, d):
+    row = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return _t(spark, d, "events").select("event_id", formatting.outline_label(F.col("event_type"), F.col("user_id")).alias("label"), row.alias("row"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '\\s', '-', 'g') AS name, 'run ' || p_brand || ' as ' || p_type AS command FROM part")
+def prj12_names_and_placeholders(spark, d):
+    c = F.col
+    return _t(spark, d, "part").select("p_partkey", formatting.sanitise(c("p_name")).alias("name"), formatting.fill_placeholders(F.lit("run %db% as %user%"), {"db": c("p_brand"), "user": c("p_type")}).alias("command"))
+
+
+@query("SELECT event_id, 'k' AS name, props->>'k' AS value FROM events WHERE props->>'k' IS NOT NULL")
+def prj17_map_entries(spark, d):
+    return formatting.entries(_t(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("p")), "event_id", "p").where("name = 'k'")
+
+
+_both("sql11_views", "customer", "CREATE OR REPLACE TEMPORARY VIEW rich AS SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_acctbal > 5000; SELECT * FROM rich", "SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_acctbal > 5000")
+_both("sql15_table_function", "region nation", "CREATE OR REPLACE TEMPORARY FUNCTION nations_of(k INT) RETURNS TABLE(nation STRING) RETURN SELECT n_name FROM nation WHERE n_regionkey = k; SELECT r_name, f.nation FROM region, LATERAL nations_of(r_regionkey) f", "SELECT r_name, n_name AS nation FROM region JOIN nation ON n_regionkey = r_regionkey")
+_both("sql20_xml_table", "region", "SELECT r_regionkey, explode(from_xml(concat('<r><a>', r_regionkey, '</a><a>9</a></r>'), 'a array<int>').a) AS a FROM region", "SELECT r_regionkey, unnest([r_regionkey, 9]) AS a FROM region")
+_both("sql21_named_arguments", "part", "CREATE OR REPLACE TEMPORARY FUNCTION difference(a INT, b INT) RETURNS INT RETURN a - b; SELECT p_partkey, difference(b => 1, a => p_size) AS s FROM part", "SELECT p_partkey, p_size - 1 AS s FROM part")
+_both("sql22_functional_dependency", "customer orders", "SELECT c_custkey, any_value(c_name) AS c_name, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+_both("sql27_row_policy", "customer", "CREATE OR REPLACE TEMPORARY VIEW own_rows AS SELECT * FROM customer WHERE c_nationkey = 7; SELECT c_custkey, c_mktsegment FROM own_rows WHERE c_acctbal > 0", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0")
+_both("sql28_dictionary", "supplier nation", "SELECT s_suppkey, coalesce(n_name, '') AS nation FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey <> 2")
+_both("sql30_composite", "nation", "SELECT n_nationkey, c.f2 AS f2, c.f1 + 1 AS f1 FROM (SELECT n_nationkey, named_struct('f1', n_regionkey, 'f2', n_name) AS c FROM nation)", "SELECT n_nationkey, n_name AS f2, n_regionkey + 1 AS f1 FROM nation")
+_both("sql_set_operations", "customer supplier", "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT c_nationkey + 100 FROM customer EXCEPT SELECT s_nationkey + 100 FROM supplier)")
+_both("sql_cube", "part", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY CUBE (p_brand, p_size)")
+
+# ---- families of the function vocabulary ------------------------------------------------------------------------
+
+_both("fn_math", "part", "SELECT p_partkey, abs(-p_size) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, round(sqrt(p_retailprice), 6) AS q, round(ln(p_retailprice), 6) AS l, round(exp(p_size / 10.0e0), 4) AS e, round(power(p_size, 1.5e0), 6) AS w, CAST(sign(p_size - 25) AS INT) AS s, p_size % 7 AS m, greatest(p_size, 20) AS g, least(p_size, 20) AS k, round(degrees(p_size * 1e0), 6) AS dg, round(atan2(p_size * 1e0, 2e0), 6) AS at, round(cbrt(p_size), 6) AS cb FROM part")
+_both("fn_string", "part", "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, reverse(p_name) AS r, lpad(p_name, 12, '*') AS lp, rpad(p_name, 12, '*') AS rp, repeat(p_brand, 2) AS rt, left(p_name, 3) AS lf, right(p_name, 3) AS rg, position('a' IN p_name) AS po, replace(p_name, 'a', 'b') AS re, trim(concat(' ', p_name, ' ')) AS tr, translate(p_name, 'aeiou', '12345') AS tl, split_part(p_brand, '#', 2) AS sp, ascii(p_name) AS ac, md5(p_name) AS md, substring(p_name, 2, 4) AS sb FROM part", "SELECT p_partkey, upper(p_name) AS u, length(p_name)::INT AS n, reverse(p_name) AS r, lpad(p_name, 12, '*') AS lp, rpad(p_name, 12, '*') AS rp, repeat(p_brand, 2) AS rt, left(p_name, 3) AS lf, right(p_name, 3) AS rg, position('a' IN p_name)::INT AS po, replace(p_name, 'a', 'b') AS re, trim(concat(' ', p_name, ' ')) AS tr, translate(p_name, 'aeiou', '12345') AS tl, split_part(p_brand, '#', 2) AS sp, ascii(p_name) AS ac, md5(p_name) AS md, substring(p_name, 2, 4) AS sb FROM part")
+_both("fn_datetime", "orders", "SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(quarter FROM o_orderdate) AS q, extract(month FROM o_orderdate) AS m, extract(day FROM o_orderdate) AS dd, extract(week FROM o_orderdate) AS w, extract(doy FROM o_orderdate) AS dy, CAST(last_day(o_orderdate) AS STRING) AS ld, CAST(CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS STRING) AS nm FROM orders", "SELECT o_orderkey, extract(year FROM o_orderdate)::INT AS y, extract(quarter FROM o_orderdate)::INT AS q, extract(month FROM o_orderdate)::INT AS m, extract(day FROM o_orderdate)::INT AS dd, extract(week FROM o_orderdate)::INT AS w, extract(doy FROM o_orderdate)::INT AS dy, CAST(last_day(o_orderdate) AS VARCHAR) AS ld, CAST(CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS nm FROM orders")
+_both("fn_statistics", "lineitem", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_pop(l_quantity, l_discount), 6) AS cp, round(stddev_samp(l_quantity), 6) AS ss, round(var_pop(l_quantity), 4) AS vp, round(regr_slope(l_extendedprice, l_quantity), 3) AS rs, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, bool_and(l_quantity > 0) AS ba, bit_xor(l_orderkey) AS bx, bit_or(l_linenumber) AS bo, count(DISTINCT l_suppkey) AS nd FROM lineitem GROUP BY l_returnflag")
+_both("fn_percentile", "lineitem", "SELECT l_returnflag, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity) AS med, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_linenumber) AS p90 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity) AS med, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_linenumber)::DOUBLE AS p90 FROM lineitem GROUP BY l_returnflag")
+_both("fn_window_more", "orders", "SELECT o_orderkey, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd, lead(o_orderkey, 2) OVER w AS ld, first_value(o_orderkey) OVER w AS fv, nth_value(o_orderkey, 2) OVER w AS nv, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS fr FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+_both("fn_array", "part", "SELECT p_partkey, size(a) AS n, array_contains(a, 'x') AS has, array_join(array_sort(a), '-') AS srt, array_join(array_distinct(array_sort(a)), '-') AS dst, element_at(a, 1) AS hd FROM (SELECT p_partkey, split(p_name, ' ') AS a FROM part)", "SELECT p_partkey, len(a)::INT AS n, list_contains(a, 'x') AS has, array_to_string(list_sort(a), '-') AS srt, array_to_string(list_sort(list_distinct(a)), '-') AS dst, a[1] AS hd FROM (SELECT p_partkey, string_split(p_name, ' ') AS a FROM part)")

@@ -79,3 +79,12 @@ def fill_placeholders(command: Column, values: dict[str, Column]) -> Column:
     for name, value in values.items():
         command = F.replace(command, F.lit(f"%{name}%"), value)
     return command
+
+
+def outline_label(action: Column, name: Column) -> Column:
+    return F.concat_ws(" ", action, name)
+
+
+def entries(properties: DataFrame, key: str, column: str) -> DataFrame:
+    """A map column as (key, name, value) rows."""
+    return properties.select(key, F.explode(column).alias("name", "value"))

@@ -59,3 +59,18 @@ def layers(edges: DataFrame, nodes: DataFrame, most: int = 100) -> DataFrame:
 def propagate_down(nodes: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
     """All descendants of the roots over parent_id, the roots included."""
     return closure(nodes.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("id").alias("dst")), roots, depth)
+
+
+def dependants_on_side(edges: DataFrame, roots: DataFrame, side: DataFrame, depth: int = 10) -> DataFrame:
+    """What depends on the roots, themselves left out, as far as it exists on the chosen side."""
+    return closure(edges, roots, depth).where("depth > 0").select("id").join(side.select("id").distinct(), "id", "left_semi")
+
+
+def unselected_dependents(nodes: DataFrame, depth: int = 10) -> DataFrame:
+    """Nodes (id, parent_id, side, selected) to warn of: unselected ones being deleted under a selected parent, or being created above a selected node."""
+    chosen, rest = nodes.where("selected").select(F.col("id").alias("c")), nodes.where("NOT selected")
+    edges = nodes.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"))
+    above = closure(edges, chosen.select(F.col("c").alias("id")), depth, reverse=True).where("depth > 0").select(F.col("id").alias("c"))
+    deleted = rest.where("side = 'LEFT'").join(chosen, F.col("parent_id") == F.col("c"), "left_semi")
+    created = rest.where("side = 'RIGHT'").join(above, F.col("id") == F.col("c"), "left_semi")
+    return deleted.unionByName(created).select("id", "side")

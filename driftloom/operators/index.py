@@ -67,3 +67,15 @@ def unchanged(snapshot: DataFrame, current: DataFrame, key: str, text: str = "te
     """Keys whose text differs from the snapshot: an update must be given up if there are any."""
     digest = lambda df, n: df.select(key, F.sha2(F.col(text), 256).alias(n))
     return digest(snapshot, "a").join(digest(current, "b"), key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(key)
+
+
+def first_range(points: DataFrame, ranges: DataFrame, group: str, point: str, start: str, length: str, keys: list[str], width: int = 64) -> DataFrame:
+    """For each point (named by ``keys``) the start of the first range that holds it; points in none are left out."""
+    return range_join(points, ranges, group, point, start, length, width).groupBy(*keys).agg(F.min(start).alias(start))
+
+
+def lookup(index: DataFrame, keys: DataFrame, key: str, value: str) -> DataFrame:
+    """Each key with its sorted values, an empty list where the index has none."""
+    lists = index.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("values"))
+    empty = F.array().cast(lists.schema["values"].dataType)
+    return keys.select(key).distinct().join(lists, key, "left").withColumn("values", F.coalesce("values", empty))

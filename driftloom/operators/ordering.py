@@ -58,3 +58,8 @@ def group_flatten_order(df: DataFrame, group: str, position: str) -> DataFrame:
     """Contiguous groups in order of first appearance; ``group_pos`` is the group's first position."""
     first = df.groupBy(group).agg(F.min(position).alias("group_pos"))
     return df.join(first, group)
+
+
+def by_directory(df: DataFrame, is_dir: Column, *path: str) -> DataFrame:
+    """Directories first, then by path."""
+    return df.orderBy(is_dir.desc(), *path)

@@ -57,3 +57,9 @@ def tumbling(events: DataFrame, width: str, keys: list[str], time: str = "ts") -
 def distinct_types(events: DataFrame) -> DataFrame:
     """Types are equal by component and action, whatever their version."""
     return events.dropDuplicates(["component", "action"])
+
+
+def status_flags(changes: DataFrame, path: str, kind: str, changed: list[str], untracked: str) -> DataFrame:
+    """Per path whether it changed and whether it is untracked; untracked paths count as changed."""
+    flag = F.col(kind).isin([*changed, untracked])
+    return changes.groupBy(path).agg(F.bool_or(flag).alias("changed"), F.bool_or(F.col(kind) == untracked).alias("untracked"))

@@ -169,3 +169,25 @@ def test_debounce_in_batch_and_stream(spark, tmp_path):
     q = ev.daily_counts_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["k"]).writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.n for r in spark.table("days").collect()] == [5]
+
+
+def test_unselected_dependents(spark):
+    n = spark.createDataFrame([("a", None, "RIGHT", False), ("b", "a", "BOTH", True), ("c", "b", "LEFT", False), ("d", "b", "RIGHT", False)], "id string, parent_id string, side string, selected boolean")
+    assert rows(graph.unselected_dependents(n)) == [("a", "RIGHT"), ("c", "LEFT")]
+    assert rows(graph.unselected_dependents(n.where("false"))) == []
+
+
+def test_lookup_gives_empty_lists(spark):
+    i = spark.createDataFrame([("a", 2), ("a", 1)], "k string, v int")
+    assert rows(index.lookup(i, spark.createDataFrame([("a",), ("z",), ("z",)], "k string"), "k", "v")) == [("a", [1, 2]), ("z", [])]
+
+
+def test_first_range(spark):
+    p = spark.createDataFrame([("g", 1, 70), ("g", 2, 5)], "g string, id int, at long")
+    r = spark.createDataFrame([("g", 60, 20), ("g", 65, 10)], "g string, lo long, n long")
+    assert rows(index.first_range(p, r, "g", "at", "lo", "n", ["id"])) == [(1, 60)]
+
+
+def test_status_flags(spark):
+    c = spark.createDataFrame([("a", "added"), ("a", "same"), ("b", "untracked"), ("c", "same")], "path string, kind string")
+    assert rows(ev.status_flags(c, "path", "kind", ["added", "modified"], "untracked")) == [("a", True, False), ("b", True, True), ("c", False, False)]
