@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions import dialect, formatting
+from .functions import dialect, formatting, levels
 from .operators import diff, filters, generate, graph, index, ordering
 from .plans import scripts
 from .sources import files
@@ -638,3 +638,209 @@ _both("fn_statistics", "lineitem", "SELECT l_returnflag, round(corr(l_quantity,
 _both("fn_percentile", "lineitem", "SELECT l_returnflag, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity) AS med, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_linenumber) AS p90 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity) AS med, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_linenumber)::DOUBLE AS p90 FROM lineitem GROUP BY l_returnflag")
 _both("fn_window_more", "orders", "SELECT o_orderkey, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd, lead(o_orderkey, 2) OVER w AS ld, first_value(o_orderkey) OVER w AS fv, nth_value(o_orderkey, 2) OVER w AS nv, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS fr FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 _both("fn_array", "part", "SELECT p_partkey, size(a) AS n, array_contains(a, 'x') AS has, array_join(array_sort(a), '-') AS srt, array_join(array_distinct(array_sort(a)), '-') AS dst, element_at(a, 1) AS hd FROM (SELECT p_partkey, split(p_name, ' ') AS a FROM part)", "SELECT p_partkey, len(a)::INT AS n, list_contains(a, 'x') AS has, array_to_string(list_sort(a), '-') AS srt, array_to_string(list_sort(list_distinct(a)), '-') AS dst, a[1] AS hd FROM (SELECT p_partkey, string_split(p_name, ' ') AS a FROM part)")
+
+
+# ---- levels, labels and further filters ---------------------------------------------------------------
+
+_KINDS = ["TABLE", "INDEX", "FUNCTION", "POLICY", "STATISTICS", "ROLE", "COLUMN"]
+
+
+@query("""WITH p AS (SELECT p_partkey, ['PG', 'MS', 'CH'][p_partkey % 3 + 1] AS dialect, ['TABLE', 'INDEX', 'FUNCTION', 'POLICY', 'STATISTICS', 'ROLE', 'COLUMN'][p_size % 7 + 1] AS kind FROM part)
+SELECT p_partkey, dialect, kind, CASE kind WHEN 'TABLE' THEN 'CONTAINER' WHEN 'INDEX' THEN 'SUB_ELEMENT' WHEN 'FUNCTION' THEN if(dialect = 'CH', 'SCHEMA', 'CONTAINER')
+  WHEN 'POLICY' THEN CASE dialect WHEN 'CH' THEN 'SCHEMA' WHEN 'PG' THEN 'SUB_ELEMENT' ELSE 'UNKNOWN' END
+  WHEN 'STATISTICS' THEN CASE dialect WHEN 'PG' THEN 'CONTAINER' WHEN 'MS' THEN 'SUB_ELEMENT' ELSE 'UNKNOWN' END
+  WHEN 'ROLE' THEN if(dialect = 'PG', 'UNKNOWN', 'SCHEMA') ELSE 'UNKNOWN' END AS level FROM p""")
+def prj3_object_level(spark, d):
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (n + 1).cast("int"))
+    p = _t(spark, d, "part").select("p_partkey", pick(["PG", "MS", "CH"], F.col("p_partkey") % 3).alias("dialect"), pick(_KINDS, F.col("p_size") % len(_KINDS)).alias("kind"))
+    return p.withColumn("level", levels.object_level(F.col("dialect"), F.col("kind")))
+
+
+@query("""SELECT * FROM (VALUES ('ASSEMBLY', 'SCHEMA'), ('CONSTRAINT', 'SUB_ELEMENT'), ('INDEX', 'SUB_ELEMENT'), ('ROLE', 'SCHEMA'), ('SCHEMA', 'SCHEMA'), ('STATISTICS', 'SUB_ELEMENT'),
+  ('TRIGGER', 'SUB_ELEMENT'), ('USER', 'SCHEMA')) t(type, level)""")
+def prj4_types_for_levels(spark, d):
+    return levels.types_at(spark, "MS", "SCHEMA", "SUB_ELEMENT")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '*' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS label FROM events")
+def prj2_user_label(spark, d):
+    user = F.when(F.col("event_id") % 3 != 0, F.col("event_type"))
+    return _t(spark, d, "events").select("event_id", formatting.user_label(user, F.col("event_id") % 2 == 0).alias("label"))
+
+
+@query("""SELECT * FROM (VALUES (0, 12, 'DROP TABLE t', 'DROP TABLE statement'), (14, 30, 'ALTER TABLE t ALTER c TYPE int', 'ALTER COLUMN ... TYPE statement'),
+  (45, 18, 'UPDATE t SET a = 1', 'UPDATE statement')) t("offset", "length", sql, warning)""")
+def flt25_danger_annotation(spark, d):
+    found = spark.createDataFrame(scripts.split_script("DROP TABLE t; ALTER TABLE t ALTER c TYPE int;UPDATE t SET a = 1; SELECT 1"), "at int, sql string")
+    return filters.danger_gate(found, []).select(F.col("at").alias("offset"), F.length("sql").alias("length"), "sql", levels.danger_text(F.col("danger")).alias("warning"))
+
+
+@query(f"WITH {_NODES} SELECT n.id, n.name FROM n LEFT JOIN n p ON p.id = n.parent_id WHERE contains(lower(CASE WHEN n.parent_id IS NULL THEN n.name ELSE p.name END), 'asia')")
+def flt4_container_filter(spark, d):
+    return filters.in_container(_nodes(spark, d), "ASIA").select("id", "name")
+
+
+@query(f"""WITH {_NODES}, u AS (SELECT *, 'user' || right(id, 1) AS owner FROM n), h AS (SELECT * FROM u WHERE contains(owner, 'user7') AND length(id) > 3)
+SELECT id, owner FROM u WHERE id IN (SELECT id FROM h) OR parent_id IN (SELECT id FROM h) OR id IN (SELECT parent_id FROM h)""")
+def flt5_user_filter(spark, d):
+    nodes = _nodes(spark, d).withColumn("owner", F.concat(F.lit("user"), F.expr("right(id, 1)")))
+    return filters.matches_self_parent_or_child(nodes, filters.text_match(F.col("owner"), "USER7") & (F.length("id") > 3)).select("id", "owner")
+
+
+@query(f"""WITH {_NODES}, h AS (SELECT * FROM n WHERE left(id, 1) = 'n') SELECT id FROM n WHERE id IN (SELECT id FROM h) OR parent_id IN (SELECT id FROM h) OR id IN (SELECT parent_id FROM h)""")
+def flt6_type_filter(spark, d):
+    nodes = _nodes(spark, d).withColumn("type", F.expr("left(id, 1)"))
+    return filters.matches_self_parent_or_child(nodes, filters.any_of(F.col("type"), ["n"])).select("id")
+
+
+@query(f"WITH {_NODES}, h AS (SELECT * FROM n WHERE id LIKE '%3') SELECT id FROM n WHERE id IN (SELECT id FROM h) OR id IN (SELECT parent_id FROM h)")
+def flt7_side_filter(spark, d):
+    nodes = _nodes(spark, d).withColumn("side", F.when(F.col("id").endswith("3"), "LEFT").otherwise("BOTH"))
+    return filters.matches_self_or_child(nodes, filters.any_of(F.col("side"), ["LEFT"])).select("id")
+
+
+@query(f"""WITH {_NODES}, h AS (SELECT * FROM n WHERE id LIKE '%77') SELECT id FROM n WHERE id IN (SELECT id FROM h) OR parent_id IN (SELECT id FROM h) OR id IN (SELECT parent_id FROM h)""")
+def flt8_local_changes(spark, d):
+    nodes = _nodes(spark, d).withColumn("changed", F.when(F.col("id").endswith("77"), True))
+    return filters.matches_self_parent_or_child(nodes, F.col("changed")).select("id")
+
+
+@query("SELECT doc_id FROM documents WHERE lang IS NULL AND source IS NOT NULL AND n_chars >= 0")
+def flt9_hide_library(spark, d):
+    c = _t(spark, d, "documents")
+    return c.where(filters.conjunction(F.col("lang").isNull(), filters.is_outline(F.col("source"), F.col("n_chars")))).select("doc_id")
+
+
+@query("""SELECT p_partkey FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12') AND NOT regexp_matches(p_type, 'A$')""")
+def flt12_ignore_union(spark, d):
+    one = lambda *rules: spark.createDataFrame([(p, r, []) for p, r in rules], "pattern string, is_regex boolean, types array<string>")
+    rules = filters.ignore_lists(one(("Brand#11:", True), ("A$", True)), None, one(("Brand#12:", True)), one(("A$", True)))
+    p = _t(spark, d, "part").withColumn("name", F.concat_ws(":", "p_brand", "p_type"))
+    return filters.ignored(p, rules, "name", "p_type").select("p_partkey")
+
+
+@query("SELECT page_id FROM pages WHERE url = (SELECT min(url) FROM pages)")
+def flt17_same_file(spark, d):
+    p = _t(spark, d, "pages")
+    return p.join(p.agg(F.min("url").alias("url")), "url", "left_semi").select("page_id")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 1 AND s_nationkey = (SELECT min(s_nationkey) FROM supplier WHERE s_suppkey % 2 = 1) ORDER BY s_suppkey LIMIT 1")
+def flt18_connection_pick(spark, d):
+    s = _t(spark, d, "supplier").withColumn("dialect", F.when(F.col("s_suppkey") % 2 == 1, "PG").otherwise("MS"))
+    least = s.where("dialect = 'PG'").agg(F.min("s_nationkey").alias("s_nationkey"))
+    named = s.join(least, "s_nationkey", "left_semi").withColumn("name", F.lit("main")).withColumn("position", F.col("s_suppkey"))
+    return filters.pick_connection(named, "PG", "main").select("s_suppkey", "s_name")
+
+
+@query("SELECT doc_id FROM documents WHERE lang IS NOT NULL AND trim(lang) <> '' AND source IS NOT NULL AND trim(source) <> ''")
+def flt19_not_blank(spark, d):
+    return _t(spark, d, "documents").where(filters.not_blank(F.col("lang"), F.col("source"))).select("doc_id")
+
+
+# ---- further joins, counts and orders --------------------------------------------------------------------
+
+
+@query(f"""WITH {_SIDES} SELECT coalesce(l.c_custkey, r.c_custkey) AS c_custkey FROM l FULL JOIN r ON l.c_custkey = r.c_custkey
+WHERE (l.c_custkey IS NULL OR r.c_custkey IS NULL OR l.c_acctbal IS DISTINCT FROM r.c_acctbal OR l.c_mktsegment IS DISTINCT FROM r.c_mktsegment) AND NOT regexp_matches(coalesce(l.c_name, r.c_name), '1$')""")
+def jon2_edits_only(spark, d):
+    rules = spark.createDataFrame([("1$", True, [])], "pattern string, is_regex boolean, types array<string>")
+    edits = diff.two_sided_diff(*_sides(spark, d), ["c_custkey"]).withColumn("name", F.coalesce("c_name_left", "c_name_right"))
+    return filters.ignored(edits, rules, "name", "side").select("c_custkey")
+
+
+@query("SELECT o_orderkey, o_orderpriority AS path FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 4 <> 0 AND o_orderpriority IN (SELECT o_orderpriority FROM orders WHERE o_orderpriority < '3')")
+def jon15_by_path(spark, d):
+    o = _t(spark, d, "orders")
+    elements = o.select("o_orderkey", F.col("o_orderpriority").alias("path"), F.when(F.col("o_orderstatus") == "F", "RIGHT").otherwise("LEFT").alias("side"), F.when(F.col("o_orderkey") % 4 == 0, "lib").alias("library"))
+    return diff.by_path(elements, o.where("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("path"))).select("o_orderkey", "path")
+
+
+@query("SELECT o_orderkey, coalesce(bool_or(l_returnflag = 'R'), false) AS any_returned FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def agg3_any_child(spark, d):
+    hit = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("any_returned"))
+    return _t(spark, d, "orders").select("o_orderkey").join(hit, "o_orderkey", "left").withColumn("any_returned", F.coalesce("any_returned", F.lit(False)))
+
+
+@query("SELECT event_type, user_id, max(event_id) AS position FROM events GROUP BY ALL")
+def agg11_history(spark, d):
+    return _t(spark, d, "events").groupBy("event_type", "user_id").agg(F.max("event_id").alias("position"))
+
+
+@query("""WITH p AS (SELECT string_split(split_part(url, '://', 2), '/') AS s FROM pages), u AS (SELECT unnest(range(1, len(s))) AS i, s FROM p)
+SELECT array_to_string(s[:i], '/') AS directory, count(*) AS "count" FROM u GROUP BY 1""")
+def agg12_file_count(spark, d):
+    return files.count_files(_t(spark, d, "pages").select(F.split("url", "://")[1].alias("path")).where("contains(path, '/')"))
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY lang ASC NULLS FIRST, doc_id LIMIT 100")
+def ord4_missing_first(spark, d):
+    return _t(spark, d, "documents").select("doc_id", "lang").orderBy(F.asc_nulls_first("lang"), "doc_id").limit(100)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') ORDER BY instr(lower(p_name), 'a') > 1, p_name, p_partkey LIMIT 60")
+def ord6_prefix_first(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", "p_name").where("contains(lower(p_name), 'a')")
+    return p.orderBy(F.instr(F.lower("p_name"), "a") > 1, "p_name", "p_partkey").limit(60)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY 1, 2 LIMIT 80")
+def ord7_reference_order(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber").orderBy("l_orderkey", "l_linenumber").limit(80)
+
+
+@query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_name)::INT AS by_name, row_number() OVER (ORDER BY n_nationkey)::INT AS by_offset FROM nation")
+def ord8_outline_order(spark, d):
+    rank = lambda c: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c))
+    return _t(spark, d, "nation").select("n_nationkey", "n_name", rank("n_name").alias("by_name"), rank("n_nationkey").alias("by_offset"))
+
+
+@query("SELECT min(event_id) AS event_id FROM events WHERE event_type = 'purchase'")
+def lim2_first_match(spark, d):
+    return _t(spark, d, "events").where("event_type = 'purchase'").select("event_id").orderBy("event_id").limit(1)
+
+
+@query("SELECT doc_id FROM documents WHERE len(string_split(text, chr(10))) <= 3")
+def lim4_line_gate(spark, d):
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    return _t(spark, d, "documents").where(lines <= 3).select("doc_id")
+
+
+@query("SELECT event_type, event_id FROM events")
+def idx3_flatten(spark, d):
+    held = _t(spark, d, "events").groupBy("event_type", (F.col("event_id") % 64).alias("part")).agg(F.collect_list("event_id").alias("ids"))
+    return held.select("event_type", F.explode("ids").alias("event_id"))
+
+
+# ---- further sinks and statements ----------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT event_id, event_type || '-' || user_id || CASE WHEN event_id % 2 = 0 THEN '_with_a_label_that_is_longer_than_forty' ELSE '' END AS n FROM events), m AS (SELECT *, md5(n) AS h FROM e)
+SELECT event_id, CASE WHEN length(n) > 40 THEN h[1:8] || '-' || h[9:12] || '-3' || h[14:16] || '-' || translate(h[17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:] ELSE n END AS file FROM m""")
+def snk7_event_file_name(spark, d):
+    label = F.concat("user_id", F.when(F.col("event_id") % 2 == 0, "_with_a_label_that_is_longer_than_forty").otherwise(""))
+    return _t(spark, d, "events").select("event_id", files.event_file_name(F.col("event_type"), label).alias("file"))
+
+
+@query(f"WITH {_NODES} SELECT DISTINCT parent_id || ' -> ' || id AS line FROM n WHERE parent_id IS NOT NULL")
+def snk11_dependency_lines(spark, d):
+    return graph.lines(_edges(spark, d))
+
+
+@query("SELECT event_id, 'type=' || event_type || '&user=' || user_id AS request FROM events")
+def snk12_ping_text(spark, d):
+    return _t(spark, d, "events").select("event_id", files.ping({"type": F.col("event_type"), "user": F.col("user_id").cast("string")}).alias("request"))
+
+
+@query("SELECT 4 AS statements, 1 AS failed, 'TABLE_OR_VIEW_NOT_FOUND' AS error")
+def mut6_batches(spark, d):
+    report = scripts.run_batches(spark, "SELECT 1; SELECT ';'; -- c\nSELECT * FROM no_such_table_here; SELECT 2", stop=False)
+    return spark.createDataFrame(report, "at int, sql string, error string").agg(F.count("*").cast("int").alias("statements"), F.count("error").cast("int").alias("failed"), F.max("error").alias("error"))
+
+
+_both("sql1_select", "nation", "SELECT * FROM nation")
+_both("sql10_conversions", "part", "SELECT p_partkey, to_char(p_size, '000') AS c, CAST(to_number(to_char(p_size, '000'), '000') AS INT) AS n, CAST(to_date('15.01.2024', 'dd.MM.yyyy') AS STRING) AS d, decode(encode(p_brand, 'UTF-8'), 'UTF-8') AS t FROM part", "SELECT p_partkey, printf('%03d', p_size) AS c, p_size AS n, '2024-01-15' AS d, p_brand AS t FROM part")
+_both("sql12_list_partition", "part", "SELECT p_partkey, left(lower(p_name), 1) AS part_key FROM part WHERE left(lower(p_name), 1) IN ('a', 'b', 'x', 'z')")
+_both("sql20_tablesample", "orders", "SELECT o_orderkey FROM orders TABLESAMPLE (100 PERCENT)", "SELECT o_orderkey FROM orders")
+_both("sql20_into", "orders", "CREATE OR REPLACE TEMPORARY VIEW big_orders AS SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000; SELECT * FROM big_orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
+_both("sql23_returning", "supplier", "WITH changed AS (SELECT s_suppkey, s_acctbal * 2 AS s_acctbal FROM supplier WHERE s_nationkey < 5) SELECT s_suppkey, s_acctbal FROM changed WHERE s_acctbal > 0")

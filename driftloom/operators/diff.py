@@ -79,3 +79,9 @@ def tri_state(children: DataFrame, parent: str, checked: Column, parent_checked:
     mixed = (F.col("selected") > 0) & (F.col("selected") < F.col("total"))
     own = F.lit(None).cast("boolean") if parent_checked is None else parent_checked
     return agg.withColumn("gray", mixed | F.coalesce((F.col("selected") > 0) != own, F.lit(False)))
+
+
+def by_path(elements: DataFrame, paths: DataFrame) -> DataFrame:
+    """Elements with each changed path that they are written to; those of libraries or only on the right have none."""
+    own = elements.where(F.col("library").isNull() & (F.col("side") != "RIGHT"))
+    return own.join(paths.select("path").distinct(), "path")

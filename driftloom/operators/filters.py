@@ -35,6 +35,21 @@ def matches_self_parent_or_child(nodes: DataFrame, predicate: Column) -> DataFra
     return out.where(F.col("__own") | F.col("__p").isNotNull() | F.col("__c").isNotNull()).drop("__own", "__p", "__c")
 
 
+def matches_self_or_child(nodes: DataFrame, predicate: Column) -> DataFrame:
+    """Nodes that match, or any child of which does."""
+    parents = nodes.where(predicate & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("__c")).distinct()
+    out = nodes.withColumn("__own", F.coalesce(predicate, F.lit(False))).join(parents, F.col("id") == F.col("__c"), "left")
+    return out.where(F.col("__own") | F.col("__c").isNotNull()).drop("__own", "__c")
+
+
+def in_container(nodes: DataFrame, pattern: str, use_regex: bool = False) -> DataFrame:
+    """Nodes whose container's name matches; a root is its own container, a node without a known container never matches."""
+    names = nodes.select(F.col("id").alias("__p"), F.col("name").alias("__container")).dropDuplicates(["__p"])
+    both = nodes.join(names, F.col("parent_id") == F.col("__p"), "left")
+    container = F.when(F.col("parent_id").isNull(), F.col("name")).otherwise(F.col("__container"))
+    return both.where(text_match(container, pattern, use_regex)).drop("__p", "__container")
+
+
 def any_of(column: Column, allowed: list[str]) -> Column:
     """Empty means all."""
     return column.isin(allowed) if allowed else F.lit(True)
@@ -51,6 +66,21 @@ def ignored(objects: DataFrame, rules: DataFrame, name: str, kind: str) -> DataF
     return objects.join(rules, covers & types, "left_anti")
 
 
+def ignore_lists(*lists: DataFrame | None) -> DataFrame:
+    """The union of the lists that are given (built in, of the project, of the connection), each rule once."""
+    return reduce(DataFrame.unionByName, [x for x in lists if x is not None]).dropDuplicates()
+
+
+def pick_connection(connections: DataFrame, dialect: str, name: str) -> DataFrame:
+    """The first connection, in list order, of this dialect and name."""
+    return connections.where((F.col("dialect") == dialect) & (F.col("name") == name)).orderBy("position").limit(1)
+
+
+def not_blank(*names: Column) -> Column:
+    """Neither null nor only white space."""
+    return conjunction(*[F.coalesce(F.length(F.trim(n)) > 0, F.lit(False)) for n in names])
+
+
 def is_outline(action: Column, length: Column) -> Column:
     return action.isNotNull() & (length >= 0)
 
@@ -81,6 +111,6 @@ def danger_gate(statements: DataFrame, allowed: list[str]) -> DataFrame:
     kind = (
         F.when(F.col("sql").rlike(r"(?i)^\s*drop\s+table"), "DROP TABLE").when(F.col("sql").rlike(r"(?i)^\s*alter\b.*\bdrop\s+column"), "DROP COLUMN")
         .when(F.col("sql").rlike(r"(?i)^\s*alter\b.*\brestart\b"), "RESTART").when(F.col("sql").rlike(r"(?i)^\s*update\b"), "UPDATE")
-        .when(F.col("sql").rlike(r"(?i)^\s*alter\b"), "ALTER")
+        .when(F.col("sql").rlike(r"(?i)^\s*alter\b.*\btype\b"), "ALTER COLUMN").when(F.col("sql").rlike(r"(?i)^\s*alter\b"), "ALTER")
     )
     return statements.withColumn("danger", kind).where(F.col("danger").isNotNull() & ~F.col("danger").isin(allowed or [""]))

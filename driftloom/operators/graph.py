@@ -74,3 +74,8 @@ def unselected_dependents(nodes: DataFrame, depth: int = 10) -> DataFrame:
     deleted = rest.where("side = 'LEFT'").join(chosen, F.col("parent_id") == F.col("c"), "left_semi")
     created = rest.where("side = 'RIGHT'").join(above, F.col("id") == F.col("c"), "left_semi")
     return deleted.unionByName(created).select("id", "side")
+
+
+def lines(edges: DataFrame) -> DataFrame:
+    """Each edge once, as a line of text."""
+    return edges.select(F.concat_ws(" -> ", "src", "dst").alias("line")).distinct()

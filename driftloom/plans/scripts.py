@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from string import Template
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 _PIECE = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/|\$(\w*)\$.*?\$\1\$|;|[^;'\"$/-]+|.", re.S)
@@ -56,3 +57,18 @@ def templates_for(typed: str) -> list[str]:
 def too_long_to_parse(script: str, limit: int) -> bool:
     """0 means no limit."""
     return 0 < limit < script.count("\n") + 1
+
+
+def run_batches(spark: SparkSession, script: str, stop: bool = True) -> list[tuple[int, str, str | None]]:
+    """(offset, statement, error) of what was run; the first failure ends the run unless ``stop`` is off."""
+    report = []
+    for at, sql in split_script(script):
+        error = None
+        try:
+            spark.sql(sql)
+        except PySparkException as e:
+            error = e.getCondition() or type(e).__name__
+        report.append((at, sql, error))
+        if error and stop:
+            break
+    return report

@@ -134,9 +134,13 @@ def decrypt(column: Column, key: Column) -> Column:
 
 
 def event_file_name(action: Column, label: Column) -> Column:
-    """``action_label``; a digest where that is longer than 40."""
-    name = F.concat_ws("_", action, label)
-    return F.when(F.length(name) > 40, F.md5(name)).otherwise(name)
+    """``action-label``, URL-encoded; the name-based UUID (version 3) of that where it is longer than 40."""
+    name = F.url_encode(F.concat_ws("-", action, label))
+    h = F.md5(name)
+    part = lambda at, n: F.substring(h, at, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    uuid = F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+    return F.when(F.length(name) > 40, uuid).otherwise(name)
 
 
 def ping(values: dict[str, Column]) -> Column:

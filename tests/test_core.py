@@ -191,3 +191,46 @@ def test_first_range(spark):
 def test_status_flags(spark):
     c = spark.createDataFrame([("a", "added"), ("a", "same"), ("b", "untracked"), ("c", "same")], "path string, kind string")
     assert rows(ev.status_flags(c, "path", "kind", ["added", "modified"], "untracked")) == [("a", True, False), ("b", True, True), ("c", False, False)]
+
+
+def test_levels(spark):
+    from driftloom.functions import levels
+
+    got = spark.range(1).select(levels.object_level(F.lit("CH"), F.lit("FUNCTION")), levels.object_level(F.lit("PG"), F.lit(None).cast("string")), levels.danger_text(F.lit("UPDATE")), levels.danger_text(F.lit("SELECT")))
+    assert list(got.first()) == ["SCHEMA", "UNKNOWN", "UPDATE statement", None]
+
+
+def test_event_file_name_is_javas_uuid(spark):
+    import uuid
+    from hashlib import md5
+
+    label = "x y" * 20
+    name = "a-" + label.replace(" ", "+")
+    want = uuid.UUID(bytes=md5(name.encode()).digest(), version=3)
+    assert spark.range(1).select(files.event_file_name(F.lit("a"), F.lit(label)), files.event_file_name(F.lit("a"), F.lit("b c"))).first()[:] == (str(want), "a-b+c")
+
+
+def test_jobs(spark, tmp_path):
+    from driftloom.streaming import jobs
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.sql").write_text("SELECT 1\n")
+    seen = jobs.changed_files(spark, str(tmp_path / "in"))
+    start = lambda: seen.writeStream.format("memory").queryName("files").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = jobs.single_flight(spark, "files", start)
+    q.processAllAvailable()
+    assert [r.text for r in spark.table("files").collect()] == ["SELECT 1\n"]
+    again = jobs.single_flight(spark, "files", lambda: jobs.periodic(seen.writeStream, 24).format("noop").queryName("files").start())
+    assert not q.isActive and [x.id for x in spark.streams.active if x.name == "files"] == [again.id]
+    again.stop()
+    cache, made = jobs.IdleCache(1), []
+    make = lambda: made.append(1) or spark.range(3)
+    assert cache.get("k", make, 0).count() == 3 and cache.get("k", make, 30).count() == 3 and made == [1]
+    assert cache.expire(80) == [] and cache.expire(90) == ["k"]
+    cache.get("k", make, 100)
+    cache.invalidate("k")
+    assert cache.get("k", make, 101).count() == 3 and made == [1, 1, 1]
+
+
+def test_batches_stop_at_the_first_failure(spark):
+    assert [(s, e is None) for _, s, e in scripts.run_batches(spark, "SELECT 1; SELEC 2; SELECT 3")] == [("SELECT 1", True), ("SELEC 2", False)]
