@@ -71,6 +71,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as in op7_substring_dedup, and passages of 50 words or more wherever they stand."""
+    return substring_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_passages=True)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
     out = language_id.held_out(F.col("doc_id"))
@@ -95,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_chat_formatting, op3_language_id, op4_minhash_near_dedup, op5_best_fit_packing, op6_mixing, op7_substring_dedup, op8_toxicity, op9_document_fingerprints, op10_exact_topk, pipeline)
+    for f in (op1_lm_scoring, op2_chat_formatting, op3_language_id, op4_minhash_near_dedup, op5_best_fit_packing, op6_mixing, op7_substring_dedup, op7_passage_dedup, op8_toxicity, op9_document_fingerprints, op10_exact_topk, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -1,24 +1,31 @@
-"""Substring dedup by hashing lines: the first occurrence of a line stays, the others go.
+"""Substring dedup: the first occurrence of a line, and of a passage of 50 words wherever it stands, stays; the others go.
 
-Only digests are shuffled to be grouped (two 64-bit hashes, id, position), pre-aggregated before the shuffle, so a line
+Lines: only digests are shuffled to be grouped (two 64-bit hashes, id, position), pre-aggregated before the shuffle, so a line
 that stands in most documents costs a row per task; the join back is one that Spark can split where it is skewed.
+Passages: of each run of ``PASSAGE_WORDS`` words the lowest hash of its runs of ``ANCHOR_WORDS`` is an anchor, so equal
+passages have an equal anchor; only passages that hold an anchor that occurs twice are digested and grouped like lines.
 Texts are joined once, with the positions to cut.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release, small_batches
+from .common import _STEP, blocks, hash_grams, hash_words, materialize, mix64, release, small_batches
 
 #: Lines of fewer words are never removed: they are structure (headings, list marks) rather than copied content.
 MIN_WORDS = 5
 SPANS = "array<struct<start:int,length:int>>"
+#: Words of a passage, words of an anchor, and 64-bit words (a power of 2) of the filter of repeated anchors: a full one costs time only.
+PASSAGE_WORDS, ANCHOR_WORDS, FILTER_WORDS = 50, 25, 1 << 21
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def normalised(line: Column) -> Column:
@@ -49,19 +56,150 @@ def cut_lines(text: str, positions: set[int]) -> tuple[str, list[dict]]:
     return "\n".join(kept), spans
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def _sliding(x: np.ndarray, n: int, op: np.ufunc) -> np.ndarray:
+    """``op`` over each n neighbours."""
+    have = 1
+    while have * 2 <= n:
+        x, have = op(x[:-have], x[have:]), have * 2
+    return op(x[: -(n - have)], x[n - have :]) if have < n else x
+
+
+def _anchors(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash) of the anchors of all texts, and for each position whether a passage of one text begins there."""
+    n = PASSAGE_WORDS - ANCHOR_WORDS + 1
+    if len(words) < PASSAGE_WORDS:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    m = len(words) - PASSAGE_WORDS + 1
+    begins = np.arange(m) + PASSAGE_WORDS <= ends[:m]
+    grams = hash_grams(words, ANCHOR_WORDS)
+    low = np.where(begins, _sliding(grams, n, np.minimum), np.uint64(0))
+    edge = np.zeros(n - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate((edge, low, edge)), n, np.maximum) == grams)
+    return at, grams[at], begins
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [(t or "").lower().encode() for t in column.to_pylist()]
+
+
+def _repeated_anchors(docs: DataFrame, text_col: str) -> np.ndarray:
+    """A filter with the bits of all anchors that occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = _texts(b.column(0))
+            for x, y in blocks(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(_anchors(*hash_words(texts[x:y]))[1].view(np.int64))], names=["a"])
+
+    twice = docs.select(text_col).mapInArrow(run, "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+    bits = twice.groupBy((F.col("a").bitwiseAND(FILTER_WORDS - 1)).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(a, {FILTER_WORDS.bit_length() - 1}) & 63 AS int)))").alias("b")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.uint64)
+    out[bits.column("w").to_numpy()] = bits.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, pos, d1, d2): each run of ``PASSAGE_WORDS`` words (pos is its first word) with an anchor that occurs twice."""
+    shared = docs.sparkSession.sparkContext.broadcast(_repeated_anchors(docs, text_col))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(k, T.LongType()) for k in ("th", "pos", "d1", "d2"))])
+
+    def digests(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.full(len(at), PASSAGE_WORDS, np.uint64)
+        for j in range(PASSAGE_WORDS):
+            out += words[at + j] * _STEP[j]
+        return mix64(out).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, shift = shared.value, np.uint64(FILTER_WORDS.bit_length() - 1)
+        for b in batches:
+            texts = _texts(b.column(2))
+            for x, y in blocks(texts):
+                words, bounds = hash_words(texts[x:y])
+                at, a, begins = _anchors(words, bounds)
+                hit = at[(bits[(a & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> (a >> shift & np.uint64(63))) & np.uint64(1) > 0]
+                if not len(hit):
+                    continue
+                mark = np.zeros(len(words) + 1, np.int64)
+                np.add.at(mark, np.maximum(hit - (PASSAGE_WORDS - ANCHOR_WORDS), 0), 1)
+                np.add.at(mark, hit + 1, -1)
+                at = np.flatnonzero((np.cumsum(mark)[: len(begins)] > 0) & begins)
+                other = mix64(words + np.uint64(1))
+                for z in range(0, len(at), 50_000):
+                    part = at[z : z + 50_000]
+                    of = np.searchsorted(bounds, part, "right") - 1
+                    take = pa.array(of + x)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(part - bounds[of]), pa.array(digests(words, part)), pa.array(digests(other, part))], names=schema.names)
+
+    small_batches(docs.sparkSession)
+    base = docs.where(F.col(text_col).isNotNull())
+    return base.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def cut_text(text: str, cuts: list[dict]) -> tuple[str, list[dict]]:
+    """The text without lines (start -1, stop their number) and runs of words (start, stop), and the spans cut from the original.
+
+    What follows a run up to the next word goes too, save a line end that words before the run need.
+    """
+    lines = {c["stop"] for c in cuts if c["start"] < 0}
+    rest, spans = cut_lines(text, lines)
+    if len(lines) == len(cuts):
+        return rest, spans
+    found = [(s["start"], s["start"] + s["length"]) for s in spans]
+    at = [m.span() for m in _WORD.finditer(text)]
+    last = -1
+    for a, b in sorted((c["start"], c["stop"]) for c in cuts if c["start"] >= 0):
+        a = max(a, last)
+        if a < b:
+            start, end = at[a][0], at[b][0] if b < len(at) else len(text)
+            if "\n" in text[at[b - 1][1] : end] and a != last and start and text[start - 1] != "\n":
+                end = at[b - 1][1]
+            found.append((start, end))
+            last = b
+    merged: list[list[int]] = []
+    for a, b in sorted(found):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    kept, done = [], 0
+    for a, b in merged:
+        kept.append(text[done:a])
+        done = b
+    out = "".join([*kept, text[done:]])
+    if text.count("\n") in lines and out.endswith("\n"):
+        out = out[:-1]
+    return out, [{"start": a, "length": b - a} for a, b in merged]
+
+
+def _later(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The occurrences after the first of each digest, with that first one, and what to release."""
+    rank = F.struct(F.col("id").isNull().alias("null"), "id", "th", "pos")
+    repeated = materialize(found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1"), "repeated")
+    return found.join(repeated.select("d1", "d2", "first"), ["d1", "d2"]).where(rank != F.col("first")), repeated
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, with_passages: bool = False) -> DataFrame:
     """``docs`` with ``text_col`` cut, plus n_removed and removed (original offsets).
 
     The earliest occurrence by (id, line number) stays, within a document too; null ids rank last.  Null texts stay
     null, with nothing removed.  Rows that repeat an id and a text are one document and are cut alike.
+    ``with_passages`` also cuts every run of ``PASSAGE_WORDS`` words or more that occurs earlier (by id and word number),
+    whatever stands before and after it; one that overlaps its own first occurrence loses what lies beyond that.
     Columns named n_removed or removed are replaced.
     """
     found = materialize(units(docs, id_col, text_col, min_words), "units")
-    rank = F.struct(F.col("id").isNull().alias("null"), "id", "th", "pos")
-    repeated = materialize(found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1"), "repeated")
-    later = found.join(repeated.select("d1", "d2", "first"), ["d1", "d2"]).where(rank != F.col("first"))
-    cuts = materialize(later.groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("__cuts")), "cuts")
-    release(found, repeated)
+    later, repeated = _later(found)
+    cuts, temporary = later.select("id", "th", F.lit(-1).alias("start"), F.col("pos").cast("int").alias("stop")), [found, repeated]
+    if with_passages:
+        found = materialize(passages(docs, id_col, text_col), "passages")
+        later, repeated = _later(found)
+        own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+        start = F.when(own, F.greatest("pos", F.col("first.pos") + PASSAGE_WORDS)).otherwise(F.col("pos"))
+        cuts = cuts.unionByName(later.select("id", "th", start.cast("int").alias("start"), (F.col("pos") + PASSAGE_WORDS).cast("int").alias("stop")))
+        temporary += [found, repeated]
+    cuts = materialize(cuts.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("__cuts")), "cuts")
+    release(*temporary)
     docs = docs.drop("n_removed", "removed")
     cuts = cuts.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__cuts")
     both = docs.join(cuts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left").drop("__id", "__th")
@@ -75,7 +213,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts, removed = b.column(k).to_pylist(), [[]] * b.num_rows
             for i, cuts in enumerate(b.column(len(names)).to_pylist()):
                 if cuts:
-                    texts[i], removed[i] = cut_lines(texts[i], set(cuts))
+                    texts[i], removed[i] = cut_text(texts[i], cuts)
             columns = [b.column(j) if j != k else pa.array(texts, pa.string()) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(r) for r in removed], pa.int32()), pa.array(removed, spans)], names=[*names, "n_removed", "removed"])
 

@@ -112,6 +112,39 @@ def test_dedup_lines(spark, odd, empty):
     assert substring_dedup.dedup_lines(empty).count() == 0
 
 
+def test_dedup_passages_equal_brute_force(spark, odd, empty):
+    rng = random.Random(5)
+    n, word = substring_dedup.PASSAGE_WORDS, lambda: f"w{rng.randrange(10**6)}"
+    shared = [[word() for _ in range(k)] for k in (50, 50, 63, 90, 49, 200)]
+    rows = []
+    for i in range(80):
+        w = [word() for _ in range(rng.randrange(5, 60))]
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(shared)
+            k = rng.randrange(len(w) + 1)
+            w[k:k] = p[rng.randrange(8) :] if rng.random() < 0.4 else p
+        rows.append((i, "".join(x.upper() + rng.choice([" ", " ", "\n", "  "]) if rng.random() < 0.1 else x + " " for x in w)))
+    rows.append((80, "x " * 3000))
+    seen, want = {}, {}
+    for i, t in rows:
+        w = t.lower().split()
+        cut = set()
+        for p in range(len(w) - n + 1):
+            key = " ".join(w[p : p + n])
+            first = seen.setdefault(key, (i, p))
+            if first != (i, p):
+                cut.update(range(max(p, first[1] + n) if first[0] == i else p, p + n))
+        want[i] = [x for k, x in enumerate(t.split()) if k not in cut]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.dedup_lines(df, min_words=10**6, with_passages=True).collect()}
+    assert {i: r.text.split() for i, r in got.items()} == want and sum(r.n_removed > 0 for r in got.values()) > 30
+    for i, t in rows:  # the spans say what went
+        for s in reversed(got[i].removed):
+            t = t[: s.start] + t[s.start + s.length :]
+        assert t == got[i].text
+    assert substring_dedup.dedup_lines(odd, with_passages=True).count() == 7 and substring_dedup.dedup_lines(empty, with_passages=True).count() == 0
+
+
 def test_syncmers(spark, odd, empty):
     rng = random.Random(5)
     text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
