@@ -10,12 +10,13 @@ them, whatever the number of landmarks.
 Labels are given by row, not by word.  Training takes sentences' words from a bounded sample of labelled rows, starts
 from words and stems that significantly more toxic than clean rows hold, adds their corrupted variants, and
 alternates between fitting and picking what it finds in toxic rows and wrongly finds in clean ones.  A row's score is
-that of its worst word, calibrated.
+that of its worst word or window of a long word, calibrated.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import math
 import random
 import zlib
@@ -35,11 +36,24 @@ COMBOS = [(j, k) for k in range(2, WINDOW) for j in range(1, k)] + [(1, 2, 3), (
 #: Labelled rows of each class, about, that training reads at most; characters of them kept on the driver at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 1_200, 16_000_000
 LANDMARKS, ROUNDS, CACHE_WORDS = 480, 4, 400_000
+#: Words of more than LONG characters (joined runs, URLs, text without blanks) are read as windows, (characters, step): in
+#: training those of the first size, in scoring all, as an insult counts for less the more stands beside it in its window.
+LONG, WINDOWS = 64, ((64, 16), (24, 4), (12, 2))
 STRIP = ".,;:!?\"'()[]{}<>*_-~`"
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-case words without outer punctuation; three or more single characters in a row count as one word too."""
+def windows_of(word: str, sizes: tuple[tuple[int, int], ...] = WINDOWS) -> Iterator[str]:
+    """Overlapping parts of a word, in each size from its first to its last character."""
+    for n, step in sizes:
+        for a in range(0, max(1, len(word) - n + step), step):
+            yield word[a : a + n]
+
+
+def words_of(text: str | None, whole: bool = False) -> list[str]:
+    """Lower-case words without outer punctuation; three or more single characters in a row count as one word too.
+
+    Words of more than ``LONG`` characters stand as windows of that size unless ``whole``.
+    """
     out = [w.strip(STRIP) or w for w in (text or "").lower().split()]
     if sum(1 for w in out if len(w) == 1) > 2:
         run, extra = [], []
@@ -51,12 +65,14 @@ def words_of(text: str | None) -> list[str]:
                     extra.append("".join(run))
                 run = []
         out += extra
+    if not whole and any(len(w) > LONG for w in out):
+        out = [part for w in out for part in (windows_of(w, WINDOWS[:1]) if len(w) > LONG else (w,))]
     return out
 
 
 def _occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, weight, word) of every subsequence; words are framed by ^ and $."""
-    framed = [f"^{w[:64]}$" for w in words]
+    framed = [f"^{w}$" for w in words]
     c = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.array([len(f) for f in framed], np.int64)
     of = np.repeat(np.arange(len(words)), size)
@@ -77,7 +93,7 @@ def _occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _norms(words: list[str]) -> np.ndarray:
     """Root of the sum of squared weights: a rescaling by the word's length."""
-    n = np.array([min(len(w), 64) + 2 for w in words], float)
+    n = np.array([len(w) + 2 for w in words], float)
     return np.sqrt(np.maximum(1e-6, sum(np.maximum(0, n - p[-1]) * DECAY ** (2 * (p[-1] - len(p))) for p in COMBOS)))
 
 
@@ -163,8 +179,12 @@ class ToxicityModel:
         return np.bincount(word, self.table[bucket] * weight, len(words)) / _norms(words) + self.bias
 
     def worst(self, text: str | None) -> float:
-        """Margin of the worst word; -9 for no words."""
-        words, most = words_of(text), -9.0
+        """Margin of the worst word, or window of a long one; -9 for no words."""
+        words, most = words_of(text, True), -9.0
+        parts = (part for w in words if len(w) > LONG for part in windows_of(w))
+        while some := list(itertools.islice(parts, 20_000)):
+            most = max(most, float(self.word_scores(some).max()))
+        words = [w for w in words if len(w) <= LONG]
         for a in range(0, len(words), CACHE_WORDS // 2):
             part = words[a : a + CACHE_WORDS // 2]
             new = list(set(part).difference(self.cache))

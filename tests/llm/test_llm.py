@@ -215,6 +215,14 @@ def test_toxicity_learns_planted_insults():
     assert all((m.score(t) >= 0.5) == bool(y) for t, y in rows)
     assert m.score("an gloomxwit er") > m.score("an er onre") and m.score(None) < 0.5 and m.score("") < 0.5
     assert toxicity.fit_rows([]).score("anything") < 0.5
+    for sep in ("", "-", "_"):  # runs without blanks are read to their end
+        for _ in range(20):
+            t = [word() for _ in range(60)]
+            assert m.score(sep.join(t)) < 0.5
+            t.insert(rng.randrange(40, 61), rng.choice(["gloomwit", "zaddlepip"]))
+            assert m.score(sep.join(t)) >= 0.5
+    long = "".join(chr(97 + i % 26) for i in range(1001))
+    assert toxicity.words_of(long)[-1].endswith(long[-40:])
 
 
 def test_lm_scores(spark, odd, empty):
