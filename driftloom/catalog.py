@@ -844,3 +844,56 @@ _both("sql12_list_partition", "part", "SELECT p_partkey, left(lower(p_name), 1)
 _both("sql20_tablesample", "orders", "SELECT o_orderkey FROM orders TABLESAMPLE (100 PERCENT)", "SELECT o_orderkey FROM orders")
 _both("sql20_into", "orders", "CREATE OR REPLACE TEMPORARY VIEW big_orders AS SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000; SELECT * FROM big_orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
 _both("sql23_returning", "supplier", "WITH changed AS (SELECT s_suppkey, s_acctbal * 2 AS s_acctbal FROM supplier WHERE s_nationkey < 5) SELECT s_suppkey, s_acctbal FROM changed WHERE s_acctbal > 0")
+
+
+# ---- whole orders: the queries above that end in a row cap, with every row and its place ---------------------------
+
+
+@query("SELECT c_custkey, c_mktsegment, c_acctbal, c_nationkey, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS position FROM customer")
+def ord1_sort_stack_whole(spark, d):
+    stack = ordering.SortStack().choose("c_custkey").choose("c_acctbal").choose("c_acctbal").choose("c_mktsegment")
+    return ordering.ranked(stack.sort(_t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")))
+
+
+@query("SELECT p_partkey, p_brand, p_type, p_size, row_number() OVER (ORDER BY p_type, p_brand, p_size, p_partkey) AS position FROM part")
+def ord2_default_order_whole(spark, d):
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").alias("change"), F.col("p_brand").alias("type"), F.col("p_type").alias("location"))
+    return ordering.ranked(ordering.default_stack().sort(p)).select(F.col("name").alias("p_partkey"), F.col("type").alias("p_brand"), F.col("location").alias("p_type"), F.col("change").alias("p_size"), "position")
+
+
+@query("SELECT c_custkey, c_acctbal > 0 AS checked, row_number() OVER (ORDER BY c_acctbal > 0 DESC, c_custkey) AS position FROM customer")
+def ord3_true_first_whole(spark, d):
+    stack = ordering.SortStack().choose("c_custkey").choose("checked")
+    return ordering.ranked(stack.sort(_t(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("checked")), ("checked",)))
+
+
+@query("SELECT doc_id, lang, row_number() OVER (ORDER BY lang ASC NULLS FIRST, doc_id) AS position FROM documents")
+def ord4_missing_first_whole(spark, d):
+    return ordering.ranked(_t(spark, d, "documents").select("doc_id", "lang").orderBy(F.asc_nulls_first("lang"), "doc_id"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS rank, row_number() OVER (ORDER BY rank, p_partkey) AS position FROM part")
+def ord5_rank_sort_whole(spark, d):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("SCHEMA", "TABLE", "VIEW", "INDEX")]), (F.col("p_size") % 4 + 1).cast("int"))
+    return ordering.ranked(_t(spark, d, "part").select("p_partkey", ordering.rank_of(kind).alias("rank")).orderBy("rank", "p_partkey"))
+
+
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY instr(lower(p_name), 'a') > 1, p_name, p_partkey) AS position FROM part WHERE contains(lower(p_name), 'a')")
+def ord6_prefix_first_whole(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", "p_name").where("contains(lower(p_name), 'a')")
+    return ordering.ranked(p.orderBy(F.instr(F.lower("p_name"), "a") > 1, "p_name", "p_partkey"))
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS position FROM lineitem")
+def ord7_reference_order_whole(spark, d):
+    return ordering.ranked(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber").orderBy("l_orderkey", "l_linenumber"))
+
+
+@query("SELECT page_id, url, row_number() OVER (ORDER BY url LIKE '%/' DESC, url, page_id) AS position FROM pages")
+def ord9_directories_first_whole(spark, d):
+    return ordering.ranked(ordering.by_directory(_t(spark, d, "pages").select("page_id", "url"), F.col("url").endswith("/"), "url", "page_id"))
+
+
+@query("SELECT event_id, v, row_number() OVER (ORDER BY v ASC NULLS LAST, event_id) AS position FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS v FROM events)")
+def sql8_order_nulls_whole(spark, d):
+    return ordering.ranked(_sql(spark, d, "events", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS v FROM events ORDER BY v ASC NULLS LAST, event_id"))

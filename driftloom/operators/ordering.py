@@ -27,6 +27,20 @@ class SortStack:
         return df.orderBy(*self.columns(true_first))
 
 
+def ranked(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """All rows of an ordered DataFrame with their place from 1 on, numbered in each partition and shifted by those before."""
+    spark = ordered.sparkSession
+    kept = ordered.withColumn("__at", F.monotonically_increasing_id()).persist()  # numbers and sizes must be of one run
+    sizes = kept.groupBy(F.shiftright("__at", 33).alias("p")).count().orderBy("p").collect()
+    rows, before = [], 0
+    for r in sizes:
+        rows.append((r["p"], before))
+        before += r["count"]
+    shift = F.broadcast(spark.createDataFrame(rows, "__p long, __before long"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(shift, F.shiftright("__at", 33) == F.col("__p")).withColumn(name, inside + F.col("__before") + 1).drop("__at", "__p", "__before")
+
+
 def default_stack() -> SortStack:
     out = SortStack()
     for c in ("name", "change", "type", "location"):
