@@ -325,12 +325,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("__y") == 1, min(1.0, SAMPLE_ROWS / sizes[1])).otherwise(min(1.0, 2 * SAMPLE_ROWS / sizes[0]))
     picked = lab.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share * (1 << 20))
     rows = docs.select(id_col, F.col(text_col).alias("__t")).join(F.broadcast(picked), id_col)  # 3 * SAMPLE_ROWS small rows
+    rows = rows.select("__t", "__y", F.xxhash64(F.col(id_col).cast("string")).alias("__h")).repartition(8, "__h").sortWithinPartitions("__h")
     got, chars = [], 0
-    for r in rows.select("__t", "__y").toLocalIterator():
-        chars += len(r[0] or "")
-        if chars > SAMPLE_CHARS:
-            break
-        got.append((r[0], r[1]))
+    for r in rows.toLocalIterator():
+        text = r[0] or ""
+        if len(text) > SAMPLE_CHARS // 16:  # a passage of a long text, so that no text takes the place of all others
+            at = random.Random(r["__h"]).randrange(len(text) - SAMPLE_CHARS // 16)
+            text = text[at : at + SAMPLE_CHARS // 16]
+        if chars + len(text) <= SAMPLE_CHARS:
+            chars += len(text)
+            got.append((text, r[1]))
     return fit_rows(got, sizes[1] / (sizes[0] + sizes[1]))
 
 

@@ -225,6 +225,17 @@ def test_toxicity_learns_planted_insults():
     assert toxicity.words_of(long)[-1].endswith(long[-40:])
 
 
+def test_toxicity_trains_past_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 200_000)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "on", "re", "st"]) for _ in range(rng.randrange(1, 4)))
+    texts = [" ".join([word() for _ in range(40)] + (["gloomwit"] if i % 5 == 1 else [])) for i in range(500)]
+    texts[0] = "an er " * 50_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(500)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels).score("an er gloomwit on") >= 0.5
+
+
 def test_lm_scores(spark, odd, empty):
     import math
 
