@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,15 +11,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised helpers turn into arrays at once (a longer text is taken whole).
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that all executors see: ``spark.checkpoint.dir``, or one of our own where it is unset on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="driftloom-"))
         root = sc._jsc.sc().getCheckpointDir().get()
     return root.rstrip("/")
@@ -62,24 +65,9 @@ def partitions(spark: SparkSession, weight: int, per_task: int) -> int:
 # ---- hashing -----------------------------------------------------------------------------
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE[_SPACE] = 0
-_R, _R_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _STEP = _RNG.integers(1, 2**63, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_R, _R_INV)):
-                x = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
-                x[0] = 1
-                _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -102,21 +90,62 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs outside 0x20, 0x09-0x0D) of all texts; bounds[i]:bounds[i+1] are text i's."""
+#: Places in a word whose bytes' values are looked up; beyond, they are computed.
+PLACES = 64
+
+
+@functools.cache
+def _values(seed: int) -> tuple[np.uint64, np.ndarray]:
+    """The salt of a seed and the values of (place, byte)."""
+    salt = np.uint64((seed + 1) * 0xD1342543DE82EF95 & (2**64 - 1))
+    with np.errstate(over="ignore"):
+        table = mix64(np.arange(PLACES << 8, dtype=np.uint64) + salt)
+    table.reshape(PLACES, 256)[:, _SPACE] = 0
+    return salt, table
+
+
+def _segments(buf: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about BLOCK_BYTES that end at white space (a longer word is taken whole)."""
+    a = 0
+    while a < len(buf):
+        b = min(len(buf), a + BLOCK_BYTES)
+        while b < len(buf) and not len(gap := np.flatnonzero(_SPACE[buf[b : b + BLOCK_BYTES]])):
+            b = min(len(buf), b + BLOCK_BYTES)
+        if b < len(buf):
+            b += int(gap[0]) + 1
+        yield a, b
+        a = b
+
+
+def hash_words(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs outside 0x20, 0x09-0x0D) of all texts; bounds[i]:bounds[i+1] are text i's.
+
+    A word's hash is the sum of a mixed value for each of its bytes at its place in the word.  These values don't follow
+    from each other as the terms of a polynomial do, so no family of words is known to collide.
+    """
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
-    space = _SPACE[buf]
-    first = ~space
-    first[1:] &= space[:-1]
-    starts = np.flatnonzero(first)
-    bounds = np.concatenate(([0], np.searchsorted(starts, ends)))
-    if not len(starts):
-        return np.empty(0, np.uint64), bounds
-    up, down = _power(len(buf))
-    with np.errstate(over="ignore"):
-        h = np.add.reduceat(_BYTE[buf] * up[: len(buf)], starts) * down[starts]
-    return mix64(h), bounds
+    salt, table = _values(seed)
+    hashes, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for a, b in _segments(buf):
+        part = buf[a:b]
+        space = _SPACE[part]
+        first = ~space
+        first[1:] &= space[:-1]
+        at = np.flatnonzero(first)
+        if not len(at):
+            continue
+        size = np.diff(np.concatenate(([0], at, [len(part)])))
+        place = np.arange(len(part), dtype=np.int32)
+        place -= np.repeat(np.concatenate(([0], at)).astype(np.int32), size)
+        with np.errstate(over="ignore"):
+            value = table.take((np.minimum(place, PLACES - 1) << 8) | part, mode="clip")
+            if size[1:].max() > PLACES:
+                far = np.flatnonzero(place >= PLACES)
+                value[far] = np.where(space[far], np.uint64(0), mix64(((place[far].astype(np.uint64) << np.uint64(8)) | part[far]) + salt))
+            hashes.append(mix64(np.add.reduceat(value, at)))
+        starts.append(at + a)
+    return np.concatenate(hashes), np.concatenate(([0], np.searchsorted(np.concatenate(starts), ends)))
 
 
 def hash_grams(words: np.ndarray, n: int) -> np.ndarray:

@@ -68,12 +68,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as in op7_substring_dedup, and passages of 50 words or more wherever they stand."""
-    return substring_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_passages=True)
+    return substring_dedup.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +95,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_chat_formatting, op3_language_id, op4_minhash_near_dedup, op5_best_fit_packing, op6_mixing, op7_substring_dedup, op7_passage_dedup, op8_toxicity, op9_document_fingerprints, op10_exact_topk, pipeline)
+    for f in (op1_lm_scoring, op2_chat_formatting, op3_language_id, op4_minhash_near_dedup, op5_best_fit_packing, op6_mixing, op7_substring_dedup, op8_toxicity, op9_document_fingerprints, op10_exact_topk, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+_BLANK, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
+_UNIT, _REACH = substring_dedup.UNIT_WORDS, substring_dedup.REACH
+_ORDER = " + ".join(f"lead(h, {j}) OVER o * {f}" for j, f in enumerate(substring_dedup.FACTORS))
+
 ORACLE_SQL: dict[str, str] = {
     "op1_lm_scoring": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -131,15 +130,39 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 10""",
-    "op7_substring_dedup": r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(range(len(lines)))::INT AS pos, unnest(lines) AS line FROM d),
-n AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM l),
-k AS (SELECT *, (norm <> '' AND len(string_split(norm, ' ')) >= 5) AS long FROM n),
-f AS (SELECT *, CASE WHEN long THEN row_number() OVER (PARTITION BY long, norm ORDER BY doc_id, pos) ELSE 1 END AS r,
-  coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-  count(*) OVER (PARTITION BY doc_id) AS lines FROM k),
-g AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (r = 1) AS kept, count(*) FILTER (r > 1) AS n,
-  list({'start': start::INT, 'length': (length(line) + (pos < lines - 1)::INT)::INT} ORDER BY pos) FILTER (r > 1) AS removed FROM f GROUP BY 1)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(g.kept, '') END AS text, coalesce(g.n, 0)::INT AS n_removed, coalesce(g.removed, []) AS removed FROM d LEFT JOIN g USING (doc_id)""",
+    "op7_substring_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '{_BLANK}*{_WORD}') AS p FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, unnest(range(len(p)))::INT AS k, unnest(p) AS p FROM d),
+v AS (SELECT *, regexp_extract(p, '{_WORD}') AS own FROM t),
+w AS (SELECT *, translate(own, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM v),
+h AS (SELECT *, ('0x' || md5(w)[1:7])::BIGINT AS h FROM w),
+g AS (SELECT doc_id, k, 1 + ({_ORDER}) % {substring_dedup.MODULUS} AS key FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+l AS (SELECT *, CASE WHEN count(key) OVER r = {_REACH} THEN min(key) OVER r END AS low FROM g
+  WINDOW r AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND {_REACH - 1} FOLLOWING)),
+m AS (SELECT *, max(low) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN {_REACH - 1} PRECEDING AND CURRENT ROW) AS lows FROM l),
+ws AS (SELECT doc_id, list(w ORDER BY k) AS ws FROM w GROUP BY 1),
+u AS (SELECT doc_id, k, array_to_string(ws[k + 1:k + {_UNIT}], ' ') AS unit FROM m JOIN ws USING (doc_id) WHERE lows = key),
+f AS (SELECT doc_id, k, first_value(doc_id) OVER x AS fd, first_value(k) OVER x AS fk, row_number() OVER x AS n FROM u
+  WINDOW x AS (PARTITION BY unit ORDER BY doc_id, k)),
+e AS (SELECT *, CASE WHEN fd = doc_id THEN greatest(k, fk + {_UNIT}) ELSE k END AS s, k + {_UNIT} AS e FROM f WHERE n > 1),
+b AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+r AS (SELECT *, count(*) FILTER (before IS NULL OR s > before) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM b),
+c AS (SELECT doc_id, min(s) AS a, max(e) AS b, min(k) AS lq, arg_min(fd, k) AS ld, arg_min(fk, k) AS lk, arg_max(fd, k) AS rd, arg_max(fk, k) AS rk
+  FROM r GROUP BY doc_id, run HAVING max(e) - min(s) >= {substring_dedup.MIN_RUN}),
+x AS (SELECT c.doc_id,
+  a - list_max(list_filter(range({_REACH}), lambda n: n = 0 OR (a = lq AND n <= lk AND a - n >= CASE WHEN ld = c.doc_id THEN lk + {_UNIT} ELSE 0 END
+    AND own.ws[a - n + 1:a] = l.ws[lk - n + 1:lk]))) AS a,
+  b + list_max(list_filter(range({_REACH}), lambda n: b + n <= len(own.ws) AND rk + {_UNIT} + n <= len(r.ws)
+    AND own.ws[b + 1:b + n] = r.ws[rk + {_UNIT} + 1:rk + {_UNIT} + n])) AS b
+  FROM c JOIN ws own ON own.doc_id = c.doc_id JOIN ws l ON l.doc_id = ld JOIN ws r ON r.doc_id = rd),
+cut AS (SELECT DISTINCT doc_id, unnest(range(a, b))::INT AS k, true AS cut FROM x),
+y AS (SELECT w.*, coalesce(cut, false) AS cut, sum(length(p)) OVER (PARTITION BY w.doc_id ORDER BY k) AS stop FROM w LEFT JOIN cut USING (doc_id, k)),
+z AS (SELECT *, cut AND NOT lag(cut, 1, false) OVER (PARTITION BY doc_id ORDER BY k) AS head FROM y),
+i AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM z),
+kept AS (SELECT doc_id, string_agg(CASE WHEN NOT cut THEN p WHEN head THEN p[:length(p) - length(own)] ELSE '' END, '' ORDER BY k) AS kept FROM z GROUP BY 1),
+spans AS (SELECT doc_id, min(stop - length(own))::INT AS start, (max(stop) - min(stop - length(own)))::INT AS length FROM i WHERE cut GROUP BY doc_id, span),
+rem AS (SELECT doc_id, list({{'start': start, 'length': length}} ORDER BY start) AS removed FROM spans GROUP BY 1)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') || regexp_extract(text, '{_BLANK}*$') END AS text,
+  coalesce(len(removed), 0)::INT AS n_removed, coalesce(removed, []) AS removed
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN rem USING (doc_id)""",
 }

@@ -102,47 +102,92 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd.withColumn("source", F.lit("s"))).count() == 7 and mixing.mix(empty).count() == 0
 
 
-def test_dedup_lines(spark, odd, empty):
-    line, other = "the very same line of words", "another line that is long enough"
-    df = spark.createDataFrame([(2, f"{line}\nshort\n{other}"), (1, f"x\n{line.upper()} \nshort"), (3, f"{line}\n{line}")], "doc_id long, text string")
-    got = {r.doc_id: r for r in substring_dedup.dedup_lines(df).collect()}
-    assert {i: r.text for i, r in got.items()} == {1: f"x\n{line.upper()} \nshort", 2: f"short\n{other}", 3: ""}
-    assert [tuple(s) for s in got[2].removed] == [(0, len(line) + 1)] and got[3].n_removed == 2
-    assert sorted(r.text or "" for r in substring_dedup.dedup_lines(odd).collect()) == sorted(t or "" for _, t in ODD)
-    assert substring_dedup.dedup_lines(empty).count() == 0
-
-
-def test_dedup_passages_equal_brute_force(spark, odd, empty):
+def cut_by_brute_force(rows):
+    """The words of each text that stay, by the rule as it is stated, with plain loops."""
+    n, reach = substring_dedup.UNIT_WORDS, substring_dedup.REACH
+    words = {i: t.translate({x: x + 32 for x in range(65, 91)}).split(" ") for i, t in rows}
+
+    def order(run):
+        h = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in run]
+        return sum(x * f for x, f in zip(h, substring_dedup.FACTORS, strict=True)) % substring_dedup.MODULUS
+
+    first, later = {}, {}
+    for i, w in words.items():
+        keys = [order(w[k : k + n]) for k in range(len(w) - n + 1)]
+        at = sorted({k for a in range(len(keys) - reach + 1) for k in range(a, a + reach) if keys[k] == min(keys[a : a + reach])})
+        for k in at:
+            j, p = first.setdefault(tuple(w[k : k + n]), (i, k))
+            if (j, p) != (i, k):
+                later.setdefault(i, []).append((k, j, p))
+    kept = {}
+    for i, w in words.items():
+        runs, cut = [], set()
+        for k, j, p in later.get(i, []):
+            s = max(k, p + n) if j == i else k
+            if runs and s <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], k + n)
+                runs[-1][0] = min(runs[-1][0], s)
+                runs[-1][3] = (k, j, p)
+            else:
+                runs.append([s, k + n, (k, j, p), (k, j, p)])
+        for a, b, (k, j, p), (_, y, z) in runs:
+            if b - a < substring_dedup.MIN_RUN:
+                continue
+            if a == k:
+                for d in range(1, reach):
+                    if p - d < 0 or k - d < (p + n if j == i else 0) or words[j][p - d] != w[k - d]:
+                        break
+                    a = k - d
+            for d in range(reach - 1):
+                if b >= len(w) or z + n + d >= len(words[y]) or words[y][z + n + d] != w[b]:
+                    break
+                b += 1
+            cut.update(range(a, b))
+        kept[i] = [x for k, x in enumerate(dict(rows)[i].split(" ")) if k not in cut]
+    return kept
+
+
+def test_dedup_passages_equal_brute_force(spark):
     rng = random.Random(5)
-    n, word = substring_dedup.PASSAGE_WORDS, lambda: f"w{rng.randrange(10**6)}"
-    shared = [[word() for _ in range(k)] for k in (50, 50, 63, 90, 49, 200)]
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [[word() for _ in range(k)] for k in (50, 50, 63, 90, 31, 200)]
     rows = []
-    for i in range(80):
+    for i in range(90):
         w = [word() for _ in range(rng.randrange(5, 60))]
         for _ in range(rng.randrange(3)):
             p = rng.choice(shared)
             k = rng.randrange(len(w) + 1)
-            w[k:k] = p[rng.randrange(8) :] if rng.random() < 0.4 else p
-        rows.append((i, "".join(x.upper() + rng.choice([" ", " ", "\n", "  "]) if rng.random() < 0.1 else x + " " for x in w)))
-    rows.append((80, "x " * 3000))
-    seen, want = {}, {}
-    for i, t in rows:
-        w = t.lower().split()
-        cut = set()
-        for p in range(len(w) - n + 1):
-            key = " ".join(w[p : p + n])
-            first = seen.setdefault(key, (i, p))
-            if first != (i, p):
-                cut.update(range(max(p, first[1] + n) if first[0] == i else p, p + n))
-        want[i] = [x for k, x in enumerate(t.split()) if k not in cut]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in substring_dedup.dedup_lines(df, min_words=10**6, with_passages=True).collect()}
+            w[k:k] = p[rng.randrange(20) :] if rng.random() < 0.4 else p
+        rows.append((i, " ".join(x.upper() if rng.random() < 0.1 else x for x in w)))
+    loop = [word() for _ in range(17)]
+    rows += [(90, "x " * 3000 + "x"), (91, " ".join(loop * 9)), (92, " ".join(shared[5] + loop * 4 + shared[5])), (93, rows[3][1]), (94, rows[3][1].upper())]
+    want = cut_by_brute_force(rows)
+    spaced = [(i, "".join(x + rng.choice([" ", "\n", "  ", "\t\x0b"]) for x in t.split(" "))) for i, t in rows]
+    df = spark.createDataFrame(spaced, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r for r in substring_dedup.dedup_passages(df).collect()}
     assert {i: r.text.split() for i, r in got.items()} == want and sum(r.n_removed > 0 for r in got.values()) > 30
-    for i, t in rows:  # the spans say what went
+    n, seen = substring_dedup.PASSAGE_WORDS, set()
+    for i, t in spaced:  # the spans say what went, and no passage of 50 words is left twice
         for s in reversed(got[i].removed):
             t = t[: s.start] + t[s.start + s.length :]
         assert t == got[i].text
-    assert substring_dedup.dedup_lines(odd, with_passages=True).count() == 7 and substring_dedup.dedup_lines(empty, with_passages=True).count() == 0
+        w = t.lower().split()
+        for k in range(len(w) - n + 1):
+            if i not in (90, 91, 92):
+                assert (key := " ".join(w[k : k + n])) not in seen
+                seen.add(key)
+
+
+def test_dedup_passages_of_odd_rows(spark, empty):
+    p, q = (" ".join(f"{c}{k}" for k in range(70)) for c in "pq")
+    rows = [(1, f"a line\n{p} end", "c"), (2, f"start {p}", "c"), (2, f"start {p}", "c"), (None, p, None), (None, None, "c"), (3, "", "c"), (4, "\t\n", "c"), (5, "a line\nshort", "c"), (6, f"{q}\n" * 3, "c"), (7, "w" * 3_000_000, "c")]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, id string").selectExpr("*", "1 AS th", "2 AS cuts", "'x' AS n_removed", "3 AS pos", "4 AS removed", "'y' AS row")
+    out = substring_dedup.dedup_passages(clash)
+    assert out.columns == ["doc_id", "text", "id", "th", "cuts", "pos", "row", "n_removed", "removed"]
+    got = [(r.doc_id, r.text if r.doc_id != 7 else len(r.text), r.n_removed) for r in out.collect()]
+    want = [(1, f"a line\n{p} end", 0), (2, "start ", 1), (2, "start ", 1), (None, "", 1), (None, None, 0), (3, "", 0), (4, "\t\n", 0), (5, "a line\nshort", 0), (6, f"{q}\n\n", 1), (7, 3_000_000, 0)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert substring_dedup.dedup_passages(empty).count() == 0
 
 
 def test_syncmers(spark, odd, empty):
