@@ -2,7 +2,7 @@
 
 1. toxicity: documents scored 0.5 or more go.
 2. near-duplicates: one document of each group stays, the one with the smallest id.
-3. substring dedup: repeated lines and passages of 50 words are cut, the first occurrence stays; n_chars is that of the new text.
+3. substring dedup: repeated passages of 50 words or more are cut, the first occurrence stays; n_chars is that of the new text.
 4. mixing: documents are repeated or left out so that each source comes near its target.
 5. packing: the mix as token sequences.
 """
@@ -39,8 +39,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, without the lines and the passages of 50 words or more that an earlier one has."""
-    cut = substring_dedup.dedup_lines(docs, with_passages=True)
+    """All documents stay, without the passages of 50 words or more that an earlier one has; null texts stay null."""
+    cut = substring_dedup.dedup_passages(docs)
     size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cut.withColumn("n_chars", size).select(*docs.columns)
 
