@@ -3,15 +3,17 @@
 Stages, all of them distributed:
 
 1. ``signatures``: per document the number of distinct shingles, a 64-bit identity of the shingle set
-   (equal sets become one *node*) and the bottom-64 sketch.
+   (equal sets become one *node*), a digest of the words in order and the bottom-64 sketch.  Members of a node whose
+   words differ are compared on their full sets; should they differ, another hash function is taken.
 2. Frequent shingles, counted over all documents' retained values, are put last in the order of the hash.
    The number that is broadcast is bounded (``HOT_VALUES``); any choice of them leaves the result the same,
    it only decides how long the inverted lists get.
 3. ``postings``: what each node retains in that order.  A node retains its first ``|A| - ceil(t|A|) + 1``
    values, of which two linked sets share at least one (pigeonhole); where most of its values are
    infrequent, the first 32 of these do (two linked sets miss each other with probability below 1e-7).
-4. Inverted lists of the retained values generate candidate pairs.  First each member of a list meets one hub; those
-   that are linked fall into one component, pairs within which need no comparison.  Then what is outside a list's
+4. Inverted lists of the retained values generate candidate pairs.  Each list has a hub.  In rounds, each node meets one
+   hub of its lists (the one of most lists first) that is not in its component yet; those that are linked fall into
+   one component, pairs within which need no comparison.  Then what is outside a list's
    largest component meets the rest of the list: pair by pair in short lists, in long ones block by block as a matrix
    of overlaps of which only links come out.  An entry's place in its node's order tells whether enough of the set
    is left for the overlap (positional filter).  No list is expanded into all its pairs, and none is cut.
@@ -24,6 +26,8 @@ take no part (component null, kept); rows that repeat are copies; ties go to the
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -55,7 +59,7 @@ def _sets(texts: list[str | None], k: int, seed: int) -> Iterator[np.ndarray]:
     data = [(t or "").encode().lower() for t in texts]
     salt = np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1))
     for a, b in blocks(data):
-        words, at = hash_words(data[a:b])
+        words, at = hash_words(data[a:b], seed)
         grams = mix64(hash_grams(words, k) ^ salt)
         for i in range(b - a):
             lo, n = int(at[i]), int(at[i + 1] - at[i])
@@ -65,33 +69,58 @@ def _sets(texts: list[str | None], k: int, seed: int) -> Iterator[np.ndarray]:
                 yield mix64(hash_grams(words[lo : lo + n], n) ^ salt) if n else np.empty(0, np.uint64)
 
 
-def _identity(s: np.ndarray) -> tuple[int, int]:
+def _identity(s: np.ndarray) -> int:
     with np.errstate(over="ignore"):
-        a = mix64(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]))
-        b = mix64(np.array([mix64(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)]))
-    return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+        return int(mix64(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))])).view(np.int64)[0])
+
+
+def _words_digest(text: str | None) -> bytes:
+    """Equal for texts of equal words in equal order, whose shingle sets are equal too."""
+    return hashlib.blake2b(b" ".join((text or "").encode().lower().split()), digest_size=16).digest()
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, seed: int = 0) -> DataFrame:
-    """(id, n, node, chk, sketch) for each row; sketch in ascending order of the unsigned hash."""
+    """(id, n, node, words, sketch) for each row; sketch in ascending order of the unsigned hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, chk, sketch = [], [], [], []
-            for s in _sets(b.column(1).to_pylist(), k, seed):
-                x, y = _identity(s)
+            n, node, sketch, texts = [], [], [], b.column(1).to_pylist()
+            for s in _sets(texts, k, seed):
                 n.append(len(s))
-                node.append(x)
-                chk.append(y)
+                node.append(_identity(s))
                 sketch.append(s[:SKETCH].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(chk, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
-                names=["id", "n", "node", "chk", "sketch"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(map(_words_digest, texts), pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
+                names=["id", "n", "node", "words", "sketch"],
             )
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, node long, chk long, sketch array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, node long, words binary, sketch array<long>")
+
+
+def _unequal_members(own: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> bool:
+    """Whether a node holds two different sets: its members of other words are held against those of the lowest digest."""
+    mixed = reps.where("lo != hi").select("node", "lo")
+    if not mixed.limit(1).count():
+        return False
+    members = own.join(mixed, "node").groupBy("node", "lo", "words").agg(F.min("id").alias("mid"))
+
+    def keep_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # an id may stand on several rows
+            yield b.filter(pa.array([_words_digest(t) == w for t, w in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.bool_()))
+
+    rows = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("text")).join(members, F.col("did") == F.col("mid")).select("node", "lo", "words", "text")
+    rows = materialize(rows.mapInArrow(keep_own, rows.schema).dropDuplicates(["node", "words"]), "members")
+    low = rows.where("words = lo").select("node", F.col("text").alias("other"))
+
+    def unequal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(["node"]).filter(pa.array([shingles(x, k) != shingles(y, k) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.bool_()))
+
+    found = rows.where("words != lo").join(low, "node").select("node", "text", "other").mapInArrow(unequal, "node long").limit(1).count()
+    release(rows)
+    return found > 0
 
 
 def _postings(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, threshold: tuple[int, int], hot) -> DataFrame:
@@ -104,7 +133,7 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, th
             for s in _sets(b.column(0).to_pylist(), k, seed):
                 if not len(s):
                     continue
-                node = _identity(s)[0]
+                node = _identity(s)
                 if node in seen:  # a copy within this task
                     continue
                 if len(seen) < SEEN_NODES:
@@ -150,6 +179,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return out
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
 def _estimate(pairs: DataFrame, threshold: float) -> DataFrame:
     """Drops pairs whose union sketch puts them over 6 standard deviations below the threshold."""
 
@@ -196,9 +229,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for seed in range(8):
         sig = materialize(signatures(docs, id_col, text_col, k, seed), "signatures")
         own = sig.where((F.col("n") > 0) & F.col("id").isNotNull())
-        reps = materialize(own.groupBy("node").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("chk").alias("chk"), F.max("chk").alias("chk2")), "nodes")
-        if not reps.where(F.col("chk") != F.col("chk2")).limit(1).count():
-            break  # else two different sets got one identity; another seed parts them
+        reps = materialize(own.groupBy("node").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("words").alias("lo"), F.max("words").alias("hi")), "nodes")
+        if not _unequal_members(own, reps, docs, id_col, text_col, k):
+            break  # else two different sets got one identity; another hash function parts them
         release(sig, reps)
     else:
         raise RuntimeError("shingle sets could not be told apart by 8 hash seeds")
@@ -224,11 +257,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = materialize(lists, "lists")
     fits = _may_link(threshold)
     pair = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    pairs = lists.where("node != hub").where(fits).select(*pair)
     sketches = own.join(reps.select("node", F.col("rep").alias("id")), ["node", "id"]).select("node", "sketch").dropDuplicates(["node"])
     source = (docs, id_col, text_col, reps, sketches, k, seed, threshold)
-    checked, star = _confirm(pairs, *source)
-    labels = materialize(connected_components(star), "components")
+    meets = materialize(lists.where("node != hub").where(fits).groupBy("node", "hub").agg(F.count("*").alias("c")), "meets")
+    stars, taken, labels = [], [], None
+    n_nodes, left = reps.count(), meets.count()
+    while left:
+        if left > n_nodes // 2:  # one hub a node, so that no group's pairs outgrow its rows
+            one = meets.groupBy("node").agg(F.max(F.struct("c", F.xxhash64("hub").alias("h"), "hub")).alias("m")).select("node", F.col("m.hub").alias("hub"))
+        else:
+            one = meets.select("node", "hub")
+        checked, star = _confirm(one.select(*pair), *source)
+        taken.append(checked)
+        stars.append(star)
+        release(labels)
+        labels = materialize(connected_components(_union(stars)), "components")
+        other = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        rest = meets.join(labels, "node", "left").join(other, "hub", "left")
+        rest = rest.where(F.coalesce("label", "node") != F.coalesce("hub_label", "hub")).select("node", "hub", "c", *pair)
+        rest = materialize(rest.join(_union(taken), ["a", "b"], "left_anti").select("node", "hub", "c"), "meets")
+        release(meets)
+        meets, left = rest, rest.count()
+    release(meets)
+    if labels is None:
+        nothing = spark.createDataFrame([], "a long, b long")
+        stars, taken, labels = [nothing], [nothing], spark.createDataFrame([], "node long, label long")
     entries = lists.where("node != hub").join(labels, "node", "left").select("value", "node", "n", "pos", "hub", F.coalesce("label", "node").alias("comp"))
     per = entries.groupBy("value", "comp").agg(F.count("*").alias("c"))
     major = per.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("size"))
@@ -238,12 +291,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outside = F.col("comp") != F.col("major")
     short = entries.where(F.col("size") <= SHORT_LIST)
     ones = short.where(outside).select("value", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
-    met = short.drop("hub").withColumnRenamed("value", "__v").join(ones, (F.col("__v") == F.col("value")) & (F.col("comp") != F.col("hub_comp")) & fits)
-    pairs = met.select(*pair).unionByName(_block_links(entries.where(F.col("size") > SHORT_LIST), outside, source))
-    pairs = pairs.join(checked, ["a", "b"], "left_anti")
-    _, more = _confirm(pairs, *source)
-    old, labels = labels, materialize(connected_components(star.unionByName(more)), "components")
-    release(entries, checked, star, more, old)
+    near = short.drop("hub").withColumnRenamed("value", "__v").join(ones, (F.col("__v") == F.col("value")) & (F.col("comp") != F.col("hub_comp")) & fits)
+    pairs = near.select(*pair).unionByName(_block_links(entries.where(F.col("size") > SHORT_LIST), outside, source))
+    met, more = _confirm(pairs.join(_union(taken), ["a", "b"], "left_anti"), *source)
+    old, labels = labels, materialize(connected_components(_union([*stars, more])), "components")
+    release(entries, met, more, old, *taken, *stars)
 
     lowest = labels.join(reps.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component"))
     moved = labels.join(lowest, "label").select("node", "component")
@@ -270,7 +322,7 @@ def _own_texts(texts: DataFrame, k: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_identity(s)[0] for s in _sets(b.column(1).to_pylist(), k, seed)]
+            got = [_identity(s) for s in _sets(b.column(1).to_pylist(), k, seed)]
             yield b.filter(pa.array([x == y for x, y in zip(got, b.column(0).to_pylist(), strict=True)], pa.bool_()))
 
     return texts.select("node", "text").mapInArrow(run, "node long, text string")

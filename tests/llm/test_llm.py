@@ -49,6 +49,47 @@ def test_near_duplicates_equal_brute_force(spark):
     near_dedup.SHORT_LIST = old
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_near_duplicates_of_long_texts_equal_brute_force(spark):
+    """Texts of 200 to 900 words keep more shingles than the lists do; words over which polynomial hashes collide stay apart."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    base = [[rng.choice(words) for _ in range(rng.randrange(200, 900))] for _ in range(40)]
+    rows = []
+    for i in range(300):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 1 + len(t) // 22)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    for n in (1024, 4096):
+        t = thue_morse(n)
+        rows += [(len(rows), t), (len(rows) + 1, t.translate(str.maketrans("ab", "ba")))]
+    rows += [(len(rows), "p q r s t p q r s t p q r s t u"), (len(rows) + 1, "P q r s t  p q r s t u")]  # equal sets, other words
+    sets = [near_dedup.shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if root[i] != root[j] and 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: (root[i], len(sets[i])) for i in range(len(rows))} and len(set(root)) < 250
+
+
+def test_members_of_a_node_are_confirmed(spark):
+    """Two sets with one identity are noticed."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
+    sig = spark.createDataFrame([(i, 2, 7, near_dedup._words_digest(t)) for i, t in ((1, "a b c d e f"), (2, "g h i j k l"))], "id long, n long, node long, words binary")
+    reps = sig.groupBy("node").agg(F.min("id").alias("rep"), F.min("words").alias("lo"), F.max("words").alias("hi"))
+    assert near_dedup._unequal_members(sig, reps, docs, "doc_id", "text", 5)
+    same = spark.createDataFrame([(1, "a b c d e"), (2, "A  b c d e")], "doc_id long, text string")
+    assert not near_dedup._unequal_members(sig.withColumn("words", F.lit(near_dedup._words_digest("a b c d e"))), reps.withColumn("hi", F.col("lo")), same, "doc_id", "text", 5)
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.near_duplicates(odd).collect())
     assert got == [("1", 0, "1", True), ("2", 0, "2", True), ("3", 2, "3", True), ("3", 2, "3", True), ("4", 1, "4", True), ("5", 0, "5", True), ("None", 3, "None", True)]
