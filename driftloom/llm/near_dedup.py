@@ -156,27 +156,48 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, th
     return docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text")).mapInArrow(run, "value long, node long, n long, pos long")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label) for each node of the undirected edges (a, b); label: the smallest node reachable.
+def _contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges between the labels of their ends, once each and without those within one label; an end without one is its own."""
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), "label")
+        edges = edges.join(own, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so the number of
-    rounds is about the logarithm of the largest component's diameter.
+
+def connected_components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, label) for each node of the undirected edges (a, b) and of ``known``, earlier labels that the edges extend.
+
+    Each node is hooked to its least neighbour, the trees are flattened by pointer jumping and the edges contracted to
+    those between trees, of which few are left; so the rows handled stay near the number of edges.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        step = materialize(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("to", "label")).alias("label"), "was"), "labels")
-        changed = step.where(F.col("label") != F.col("was")).limit(1).count()
-        release(labels)
-        labels = step
-        if not changed:
-            release(both)
-            out = labels.select("node", "label")
-            out._written_at = labels._written_at
-            return out
+    edges = edges.select("a", "b")
+    rest = materialize(_contract(edges, known) if known is not None else edges.where("a != b").distinct(), "edges")
+    ends = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = materialize(ends.select("node", F.col("node").alias("label")), "labels")
+    while rest.limit(1).count():
+        hooks = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
+        hooks = materialize(hooks.select("node", F.least("node", "b").alias("label")), "hooks")
+        while True:
+            up = hooks.select(F.col("node").alias("label"), F.col("label").alias("top"))
+            step = materialize(hooks.join(up, "label").select("node", F.col("top").alias("label"), (F.col("top") != F.col("label")).alias("moved")), "hooks")
+            release(hooks)
+            hooks = step
+            if not hooks.where("moved").limit(1).count():
+                break
+        hooks, old = hooks.select("node", "label"), hooks
+        joined = labels.join(hooks.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+        step = materialize(joined.select("node", F.coalesce("top", "label").alias("label")), "labels")
+        fewer = materialize(_contract(rest, hooks), "edges")
+        release(labels, rest, old)
+        labels, rest = step, fewer
+    release(rest)
+    if known is None:
+        return labels
+    moved = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    whole = known.join(moved, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    out = materialize(whole.unionByName(labels.join(known.select("node"), "node", "left_anti")), "labels")
+    release(labels)
+    return out
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -260,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = own.join(reps.select("node", F.col("rep").alias("id")), ["node", "id"]).select("node", "sketch").dropDuplicates(["node"])
     source = (docs, id_col, text_col, reps, sketches, k, seed, threshold)
     meets = materialize(lists.where("node != hub").where(fits).groupBy("node", "hub").agg(F.count("*").alias("c")), "meets")
-    stars, taken, labels = [], [], None
+    taken, labels = [], None
     n_nodes, left = reps.count(), meets.count()
     while left:
         if left > n_nodes // 2:  # one hub a node, so that no group's pairs outgrow its rows
@@ -269,9 +290,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             one = meets.select("node", "hub")
         checked, star = _confirm(one.select(*pair), *source)
         taken.append(checked)
-        stars.append(star)
-        release(labels)
-        labels = materialize(connected_components(_union(stars)), "components")
+        old, labels = labels, connected_components(star, labels)
+        release(old, star)
         other = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
         rest = meets.join(labels, "node", "left").join(other, "hub", "left")
         rest = rest.where(F.coalesce("label", "node") != F.coalesce("hub_label", "hub")).select("node", "hub", "c", *pair)
@@ -281,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(meets)
     if labels is None:
         nothing = spark.createDataFrame([], "a long, b long")
-        stars, taken, labels = [nothing], [nothing], spark.createDataFrame([], "node long, label long")
+        taken, labels = [nothing], spark.createDataFrame([], "node long, label long")
     entries = lists.where("node != hub").join(labels, "node", "left").select("value", "node", "n", "pos", "hub", F.coalesce("label", "node").alias("comp"))
     per = entries.groupBy("value", "comp").agg(F.count("*").alias("c"))
     major = per.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("size"))
@@ -294,8 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = short.drop("hub").withColumnRenamed("value", "__v").join(ones, (F.col("__v") == F.col("value")) & (F.col("comp") != F.col("hub_comp")) & fits)
     pairs = near.select(*pair).unionByName(_block_links(entries.where(F.col("size") > SHORT_LIST), outside, source))
     met, more = _confirm(pairs.join(_union(taken), ["a", "b"], "left_anti"), *source)
-    old, labels = labels, materialize(connected_components(_union([*stars, more])), "components")
-    release(entries, met, more, old, *taken, *stars)
+    old, labels = labels, connected_components(more, labels)
+    release(entries, met, more, old, *taken)
 
     lowest = labels.join(reps.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component"))
     moved = labels.join(lowest, "label").select("node", "component")
@@ -331,7 +351,8 @@ def _own_texts(texts: DataFrame, k: int, seed: int) -> DataFrame:
 def _texts(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, k: int, seed: int) -> DataFrame:
     """(node, text) of the wanted nodes, one row each."""
     wanted = wanted.distinct().join(reps.select("node", F.col("rep").alias("__id")), "node")
-    texts = materialize(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(wanted, "__id").select("node", "text"), "texts")
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    texts = materialize(own.join(wanted.hint("merge"), "__id").select("node", "text"), "texts")  # one plan at every size
     # an id that stands on several rows brings other texts along: only one that has the node's identity stays
     if texts.groupBy("node").count().where("count > 1").limit(1).count():
         own = materialize(_own_texts(texts, k, seed).dropDuplicates(["node"]), "texts")

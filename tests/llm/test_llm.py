@@ -80,6 +80,27 @@ def test_near_duplicates_of_long_texts_equal_brute_force(spark):
     assert got == {i: (root[i], len(sets[i])) for i in range(len(rows))} and len(set(root)) < 250
 
 
+def test_connected_components_equal_brute_force(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)]
+    root = {n: n for e in edges for n in e}
+    for a, b in edges:
+        x, y = root[a], root[b]
+        root = {n: min(x, y) if r in (x, y) else r for n, r in root.items()}
+    frame = lambda part: spark.createDataFrame(part, "a long, b long")
+    first = near_dedup.connected_components(frame(edges[:140]))
+    for labels in (near_dedup.connected_components(frame(edges)), near_dedup.connected_components(frame(edges[140:]), first)):
+        got = {r.node: r.label for r in labels.collect()}
+        members = {}
+        for n, label in got.items():
+            members.setdefault(label, set()).add(n)
+        want = {}
+        for n, r in root.items():
+            want.setdefault(r, set()).add(n)
+        drop = {e[0] for e in edges if e[0] == e[1]}
+        assert sorted(map(sorted, members.values())) == sorted(sorted(m) for m in want.values() if len(m) > 1 or not m <= drop)
+
+
 def test_members_of_a_node_are_confirmed(spark):
     """Two sets with one identity are noticed."""
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
