@@ -70,9 +70,13 @@ class ColumnSpec:
         for name, default in (("start", start), ("end", end), ("step", step), ("generator", generators(self.kind)[0])):
             if getattr(self, name) is None:
                 object.__setattr__(self, name, default)
-        if self.generator not in generators(self.kind):
+        if self.generator not in generators(self.kind) and not self._null():
             raise ValueError(f"{self.kind} has no generator {self.generator}")
 
+    def _null(self) -> bool:
+        """INCREMENT isn't on offer for these types, but has a value where it is asked for: null."""
+        return self.generator == INCREMENT and self.kind in ("bit", "json", "text")
+
     @property
     def family(self) -> str:
         return TYPES[self.kind][0]
@@ -140,6 +144,8 @@ class ColumnSpec:
             if f in ("text", "json", "bit", "boolean", "real"):
                 return F.lit(self.start).cast(sql)
             return self._from_offset(F.lit(0))
+        if self._null():
+            return F.lit(None).cast(sql)
         if self.generator == INCREMENT:
             if f == "boolean":
                 return F.when(i == 0, bool(self.start)).otherwise(not self.start)
@@ -192,9 +198,9 @@ def permuted(i: Column, n: int, seed: int) -> Column:
 
 
 def letters(x: Column, width: int) -> Column:
-    """x in base 26, as ``width`` letters."""
+    """x (below 2**63) in base 26, as ``width`` letters; from the 14th on from the right they are all the first letter."""
     digit = lambda p: F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.pmod(F.floor(x / F.lit(26**p).cast("decimal(19,0)")), F.lit(26)) + 1).cast("int"), F.lit(1))
-    return F.concat(*[digit(p) for p in range(min(width, 13))][::-1])
+    return F.concat(F.lit("a" * max(0, width - 13)), *[digit(p) for p in range(min(width, 13))][::-1])
 
 
 def symbols(size: Column, alphabet: str, seed: int, i: Column, spaces: bool) -> Column:
@@ -267,6 +273,18 @@ def drop_optional(specs: list[ColumnSpec]) -> list[ColumnSpec]:
     return [s for s in specs if s.not_null]
 
 
+def delete(specs: list[ColumnSpec], name: str) -> list[ColumnSpec]:
+    """Without a column; the last one stays."""
+    out = [s for s in specs if s.name != name]
+    if not out:
+        raise ValueError("the last column can't be deleted")
+    return out
+
+
+def retype(specs: list[ColumnSpec], name: str, kind: str) -> list[ColumnSpec]:
+    return [s.retype(kind) if s.name == name else s for s in specs]
+
+
 def swap(specs: list[ColumnSpec], i: int, j: int) -> list[ColumnSpec]:
     out = list(specs)
     out[i], out[j] = out[j], out[i]
@@ -298,18 +316,18 @@ def parse_step(text: str) -> dt.timedelta:
     return dt.timedelta(days=d, hours=h, minutes=mi, seconds=s)
 
 
-def literal(value: Column, kind: T.DataType) -> Column:
-    """As SQL text: strings and temporal values quoted, null as null."""
+def literal(value: Column, kind: T.DataType, bits: bool = False) -> Column:
+    """As SQL text: strings and temporal values quoted, null as null; ``bits`` writes them as B'...'."""
     quoted = isinstance(kind, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))
     text = value.cast("string")
-    return F.coalesce(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'")) if quoted else text, F.lit("null"))
+    return F.coalesce(F.concat(F.lit("B'" if bits else "'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'")) if quoted else text, F.lit("null"))
 
 
 def insert_rows(df: DataFrame, casts: dict[str, str] | None = None) -> Column:
     """A row of values as ``(a, b)``; with casts ``value::type``."""
     parts = []
     for f in df.schema.fields:
-        x = literal(F.col(f.name), f.dataType)
+        x = literal(F.col(f.name), f.dataType, (casts or {}).get(f.name, "").startswith("bit"))
         parts.append(F.concat(x, F.lit(f"::{casts[f.name]}")) if casts and f.name in casts else x)
     return F.concat(F.lit("("), F.concat_ws(", ", *parts), F.lit(")"))
 

@@ -49,9 +49,13 @@ def fill(template: str, **values: str) -> str:
     return Template(TEMPLATES.get(template, template)).safe_substitute(values)
 
 
-def templates_for(typed: str) -> list[str]:
-    """Names that contain what was typed; a leading < is left out."""
-    return [n for n in TEMPLATES if typed.lower().lstrip("<") in n]
+#: Where a template fits: a whole statement or a part of one.
+CONTEXTS = {"case": "expression"}
+
+
+def templates_for(typed: str, context: str | None = None) -> list[str]:
+    """Names that contain what was typed and fit the context, if one is given; a leading < is left out."""
+    return [n for n in TEMPLATES if typed.lower().lstrip("<") in n and context in (None, CONTEXTS.get(n, "statement"))]
 
 
 def too_long_to_parse(script: str, limit: int) -> bool:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from driftloom import catalog
 from driftloom.functions import dialect, formatting
-from driftloom.operators import diff, filters, generate, graph, index, ordering
+from driftloom.operators import diff, filters, generate, graph, index, mutate, ordering
 from driftloom.plans import scripts
 from driftloom.sources import files
 from driftloom.streaming import events as ev
@@ -39,7 +39,7 @@ def test_whole_orders_return_every_row(spark):
     tables = {"ord1_sort_stack": "customer", "ord2_default_order": "part", "ord3_true_first": "customer", "ord4_missing_first": "documents", "ord5_rank_sort": "part", "ord7_reference_order": "lineitem", "ord9_directories_first": "pages", "sql8_order_nulls": "events"}
     for name, table in tables.items():
         n = files.table(spark, SF, table).count()
-        assert sorted(r.position for r in catalog.QUERIES[f"{name}_whole"](spark, SF).collect()) == list(range(1, n + 1))
+        assert sorted(r.position for r in catalog.QUERIES[name](spark, SF).collect()) == list(range(1, n + 1))
 
 
 def test_diff_labels_and_roundtrip(spark):
@@ -105,7 +105,7 @@ def test_generator_checks():
     with pytest.raises(ValueError, match="fewer"):
         generate.validate("t", "20", [generate.ColumnSpec("i", end=5, unique=True)])
     with pytest.raises(ValueError, match="no generator"):
-        generate.ColumnSpec("x", "text", generate.INCREMENT)
+        generate.ColumnSpec("x", "other", generate.INCREMENT)
     assert generate.generators("other") == [generate.ANY]
     assert generate.kind_of("Int64", "CH")[0] == "integer" and generate.kind_of("bit(3)") == ("bit", 3)
 
@@ -139,6 +139,7 @@ def test_dialect(spark):
 def test_scripts():
     assert [s for _, s in scripts.split_script("a; -- x;\n b ';' ; $$ c; $$;")] == ["a", "b ';'", "$$ c; $$"]
     assert scripts.fill("select", columns="*", table="t") == "SELECT * FROM t" and "select" in scripts.templates_for("<sel")
+    assert scripts.templates_for("<C", "expression") == ["case"] and "case" not in scripts.templates_for("", "statement")
     assert scripts.too_long_to_parse("a\nb", 1) and not scripts.too_long_to_parse("a\nb", 0)
 
 
@@ -150,8 +151,16 @@ def test_sources(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "l.zip", "w") as z:
         z.writestr("b.sql", "SELECT 2")
         z.writestr("c.txt", "no")
-    got = files.libraries(spark, [str(tmp_path / "p"), str(tmp_path / "l.zip"), str(tmp_path / "p"), "jdbc:x"])
+    got = files.libraries(spark, [str(tmp_path / "p"), str(tmp_path / "l.zip"), str(tmp_path / "p")])
     assert sorted(r.text for r in got.collect()) == ["SELECT 1", "SELECT 2"]
+    for path in ("jdbc:x", "https://host/l.zip"):
+        with pytest.raises(ValueError):
+            files.libraries(spark, [path])
+    every = files.libraries(spark, [str(tmp_path / "p"), "https://host/l.zip", "jdbc:x"], fetch=lambda url: str(tmp_path / "l.zip"), connect=lambda spark, url: files.stream_of(spark, "SELECT 3", url))
+    assert sorted(r.text for r in every.collect()) == ["SELECT 1", "SELECT 2", "SELECT 3"]
+    below = {"a": ["b", "c"], "b": ["a", "d"], "c": [], "d": ["jdbc:x"]}
+    assert files.library_plan(["a", "c"], below.__getitem__) == [("LOCAL", "a"), ("LOCAL", "b"), ("LOCAL", "d"), ("JDBC", "jdbc:x"), ("LOCAL", "c")]
+    assert files.stub(got)() is got
     assert files.version_gate(None, (1,)) is False and files.version_gate("9.0", (1, 2)) is False and files.version_gate("x", (1,)) and files.version_gate("1.1", (1, 2))
     assert files.jdbc_options("PG", "u")["readOnly"] == "true" and [files.kind_of_source(p) for p in ("jdbc:a", "https://a", "/a")] == ["JDBC", "URL", "LOCAL"]
     df = spark.createDataFrame([("n", "secret")], "name string, pass string")
@@ -164,6 +173,61 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "csv")).first()[0] == "'n','secret'"
 
 
+def test_project_listing_order(spark, tmp_path):
+    for name in ("b.sql", "a/z.sql", "a/sub/y.sql", "c/x.sql", "a/note.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    assert [r.text for r in files.project(spark, str(tmp_path)).collect()] == ["a/sub/y.sql", "a/z.sql", "c/x.sql", "b.sql"]
+
+
+def test_snapshots_scripts_and_stored_entries(spark, tmp_path):
+    df = spark.createDataFrame([("k", 1)], "name string, n int")
+    files.write_snapshot(df, str(tmp_path / "s"))
+    assert files.read_snapshot(spark, str(tmp_path / "s"), "name string, n int").collect() == df.collect()
+    with pytest.raises(ValueError):
+        files.read_snapshot(spark, str(tmp_path / "s"), "name string, n long")
+    path = files.write_temporary_sql(spark.createDataFrame([("SELECT 'é'",)], "text string"), str(tmp_path))
+    assert spark.read.text(path).first()[0] == "SELECT 'é'" and "é".encode() in b"".join(p.read_bytes() for p in (tmp_path / path.rsplit("/", 1)[1]).glob("part-*"))
+    key = F.lit("0123456789abcdef0123456789abcdef")
+    entries = spark.createDataFrame([("<a/>",)], "x string").select(F.array(files.encrypt(F.col("x"), key), F.base64(F.aes_encrypt(F.col("x"), key, F.lit("ECB"))), F.col("x"), F.lit("junk"), F.lit(None)).alias("e")).select(F.explode("e").alias("e"))
+    assert [r.x for r in entries.select(files.read_stored(F.col("e"), key).alias("x")).collect()] == ["<a/>"] * 3 + [None, None]
+
+
+def test_live_schema_statements():
+    assert "WHERE table_schema IN ('a', 'b''c')" in files.catalog_query("PG", ["a", "b'c"]) and "pg_catalog" in files.catalog_query("PG") and "system.columns" in files.catalog_query("CH")
+    assert files.ms_url("h", 1, "d") == "jdbc:sqlserver://h:1;databaseName={d}" and files.ms_url("h", 1, "d}x", True, "dom").endswith("databaseName=d}x;integratedSecurity=true;authenticationScheme=NTLM;domain=dom")
+
+
+def test_parquet_table(spark, tmp_path):
+    t = mutate.ParquetTable(spark, str(tmp_path / "t"), "k int, v string")
+    assert t.read().count() == 0
+    t.insert(spark.createDataFrame([(1, "a"), (2, None)], "x long, y string"))
+    t.insert(spark.createDataFrame([(3,)], "x int"), ["k"])
+    first = t.parts()
+    t.update({"v": F.concat("v", F.lit("!"))}, F.col("v").isNotNull())
+    assert rows(t.read().fillna("-")) == [(1, "a!"), (2, "-"), (3, "-")] and first[1] in t.parts() and first[0] not in t.parts()  # only the part with a hit is rewritten
+    assert rows(t.delete(F.col("v") == "a!", returning=True)) == [(1, "a!")] and rows(t.read().select("k")) == [(2,), (3,)]
+    assert rows(t.read(2).select("k")) == [(1,), (2,), (3,)]  # readers of older versions see theirs
+    with pytest.raises(mutate.StaleVersion):
+        t._commit(0, [])
+    with pytest.raises(ValueError):
+        t.insert(spark.createDataFrame([(3,)], "x int"), ["k", "v"])
+    t.truncate()
+    assert t.read().count() == 0 and t.vacuum() > 0 and t.delete() is None
+
+
+def test_deep_graphs_are_followed_to_their_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(15)], "src long, dst long")
+    assert graph.required_by_selection(chain, spark.createDataFrame([(0,)], "id long")).count() == 15
+    assert graph.closure(chain, spark.createDataFrame([(0,)], "id long")).count() == 11  # ten steps unless told otherwise
+
+
+def test_long_unique_texts(spark):
+    got = generate.generate(spark, [generate.ColumnSpec("t", "text", length=30, unique=True), generate.ColumnSpec("b", "bit", generate.INCREMENT)], 50).collect()
+    assert len({r.t for r in got}) == 50 and {r.b for r in got} == {None}
+    assert {len(r.x) for r in spark.range(3).select(generate.letters(F.col("id"), 20).alias("x")).collect()} == {20}
+
+
 def test_debounce_in_batch_and_stream(spark, tmp_path):
     at = [dt.datetime(2024, 1, 1, 0, 0, s) for s in (0, 1, 2, 30, 31)]
     df = spark.createDataFrame([(i, "u", t) for i, t in enumerate(at)], "event_id long, k string, ts timestamp")
