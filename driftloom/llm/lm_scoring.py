@@ -3,8 +3,9 @@
 Relations, all keyed and joined by Spark; only what is inside a cell is packed, sorted arrays instead of a row a token:
 
 * ``records`` (chunk, ids, sizes, words, tokens): the corpus as word numbers, some million tokens a chunk.
-* requests (level, part, chunk, grams, counts): each chunk's distinct n-grams with their counts in it, dealt by
-  hash range.  An n-gram that is everywhere costs one entry a chunk, so no part is overloaded by it.
+* requests (level, part, chunk, grams, counts): each chunk's n-grams, exploded and counted in it, dealt by hash range.
+  An n-gram that is everywhere costs one entry a chunk.  Cells without an n-gram don't exist, so there are never more
+  cells than distinct n-grams of the chunks, however many parts there are; no number of parts is a cap.
 * the count tables, one per (level, part): counts of all chunks added up, answered as totals (chunk, level, part).
 * the answers joined to their chunk's record, where each document's n-gram scores are looked up and summed.
 
@@ -29,8 +30,6 @@ from .common import _STEP, blocks, hash_words, materialize, mix64, partitions, s
 ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
 #: Tokens of a chunk, about, and distinct n-grams of a part of the count tables, about.
 CHUNK_TOKENS, PART_GRAMS = 1_000_000, 2_000_000
-#: Bits kept of a hash.
-HASH_BITS = 56
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -48,11 +47,14 @@ def unpack(b: bytes) -> np.ndarray:
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
-    return pack(np.diff(x, prepend=np.zeros(1, np.uint64)))
+    """The first value, then the packed differences."""
+    return x[:1].astype("<u8").tobytes() + pack(np.diff(x)) if len(x) else b""
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b), dtype=np.uint64)
+    if not b:
+        return np.empty(0, np.uint64)
+    return np.cumsum(np.concatenate((np.frombuffer(b, "<u8", 1), unpack(b[8:]))), dtype=np.uint64)
 
 
 def _levels(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -70,7 +72,7 @@ def _levels(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int
             h = np.full(len(at), n, np.uint64)
             for j in range(n):
                 h = h + w[at + j] * _STEP[j]
-        yield n, at + n - 1, mix64(h) >> np.uint64(64 - HASH_BITS)
+        yield n, at + n - 1, mix64(h)
 
 
 def records(docs: DataFrame, id_col: str, text_col: str, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -92,7 +94,7 @@ def records(docs: DataFrame, id_col: str, text_col: str, chunk_tokens: int = CHU
             own, texts = b.column(0).to_pylist(), [(t or "").encode().lower() for t in b.column(1).to_pylist()]
             for a, z in blocks(texts):
                 h, at = hash_words(texts[a:z])
-                hashes.append(h >> np.uint64(64 - HASH_BITS))
+                hashes.append(h)
                 ids += own[a:z]
                 sizes += np.diff(at).tolist()
                 have += len(h)
@@ -106,21 +108,23 @@ def records(docs: DataFrame, id_col: str, text_col: str, chunk_tokens: int = CHU
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"chunk string, ids array<{kind}>, sizes array<long>, words binary, tokens binary")
 
 
-def requests(corpus: DataFrame, order: int, parts: int) -> DataFrame:
+def requests(corpus: DataFrame, order: int, bits: int) -> DataFrame:
+    """Each chunk's distinct n-grams by level and part, which is given by a hash's first ``bits`` bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.array([(p << HASH_BITS) // parts for p in range(1, parts)], np.uint64)
         for b in batches:
             for chunk, sizes, words, tokens in zip(*(b.column(c).to_pylist() for c in ("chunk", "sizes", "words", "tokens")), strict=True):
                 for level, _, h in _levels(unpack_sorted(words), unpack(tokens).astype(np.uint32), np.array(sizes, np.int64), order):
                     grams, counts = np.unique(h, return_counts=True)
-                    cut = [0, *np.searchsorted(grams, bounds).tolist(), len(grams)]
-                    spans = [(p, x, y) for p, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                    part = (grams >> np.uint64(1)) >> np.uint64(63 - bits)
+                    cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(grams)]
+                    spans = [(int(part[x]), x, y) for x, y in zip(cut[:-1], cut[1:], strict=True) if y > x]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([level] * len(spans), pa.int32()), pa.array([p for p, _, _ in spans], pa.int32()), pa.array([chunk] * len(spans), pa.string()), pa.array([pack_sorted(grams[x:y]) for _, x, y in spans], pa.binary()), pa.array([pack(counts[x:y]) for _, x, y in spans], pa.binary())],
+                        [pa.array([level] * len(spans), pa.int32()), pa.array([p for p, _, _ in spans], pa.int64()), pa.array([chunk] * len(spans), pa.string()), pa.array([pack_sorted(grams[x:y]) for _, x, y in spans], pa.binary()), pa.array([pack(counts[x:y]) for _, x, y in spans], pa.binary())],
                         names=["level", "part", "chunk", "grams", "counts"],
                     )
 
-    return corpus.select("chunk", "sizes", "words", "tokens").mapInArrow(run, "level int, part int, chunk string, grams binary, counts binary")
+    return corpus.select("chunk", "sizes", "words", "tokens").mapInArrow(run, "level int, part long, chunk string, grams binary, counts binary")
 
 
 def _count(rows: pd.DataFrame) -> pd.DataFrame:
@@ -175,9 +179,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     spark = docs.sparkSession
     corpus = materialize(records(docs, id_col, text_col), "corpus")
     tokens = corpus.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    parts = min(partitions(spark, tokens, PART_GRAMS), 1 << 16)
-    asked = requests(corpus, order, parts)
-    answers = asked.groupBy("level", "part").applyInPandas(_count, "chunk string, level int, part int, totals binary")
+    asked = requests(corpus, order, (partitions(spark, tokens, PART_GRAMS) - 1).bit_length())
+    answers = asked.groupBy("level", "part").applyInPandas(_count, "chunk string, level int, part long, totals binary")
     kind = docs.schema[id_col].dataType.simpleString()
     found = corpus.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_score(order, backoff, min_count, max(1, tokens)), f"id {kind}, n_tokens long, log_score double")
     return found.select(F.col("id").alias(id_col), "n_tokens", "log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"))

@@ -2,10 +2,12 @@
 
 Queries and candidates are dealt into blocks of bounded size and each pair of blocks is one task.  In a block each
 dimension is a list of candidates sorted by its component, read from the end that suits the sign of the query's.
-The first rows of a block are read to the end; their k-th best score is the lower bound to beat.  The other lists are
-read down in parallel, in rounds; a row's upper bound fills the dimensions in which it wasn't met with the value where
-the list stands.  Reading stops once few rows' upper bounds reach the lower bound, and only these scores are resolved.
-Ties stay in the running, so the result is exact; blocks' results are merged per query.
+The lists are read down in parallel, ``ROUNDS`` times a stretch of equal length.  What has been met of a candidate gives a lower
+bound of its score (the dimensions in which it wasn't met filled with the list's worst value) and an upper one (filled
+with the value where the list stands).  Candidates whose upper bound is below the k-th best lower bound cannot qualify;
+reading stops as soon as few others are left, or the lists end, and only then are these candidates' scores resolved.
+Blocks of candidates that follow start from the k-th best score so far; results are merged per query.  Ties stay in
+the running, so the result is exact.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK, FIRST_ROWS = 512, 8192, 1024
+#: Queries and candidates of a block, candidates whose lists are read together, and stretches in which lists are read.
+QUERY_BLOCK, CANDIDATE_BLOCK, LIST_ROWS, ROUNDS = 512, 8192, 2048, 16
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
@@ -33,27 +36,36 @@ class SortedLists:
         top = float(np.abs(values).max(initial=0))
         self.values = values.astype(np.float64) if top * top * 4 * max(1, values.shape[1]) < 2**53 else values
         order = np.argsort(values, axis=0, kind="stable")
-        self.order, self.sorted = np.asfortranarray(order), np.asfortranarray(np.take_along_axis(values, order, 0).astype(np.float64))
+        self.sorted = np.take_along_axis(values, order, 0).astype(np.float64)
+        self.place = np.empty(order.shape, np.int32)  # of each candidate in each list
+        np.put_along_axis(self.place, order, np.arange(len(values), dtype=np.int32)[:, None], 0)
+        self.read = 0
 
     def nra(self, query: np.ndarray, k: int, skip: np.ndarray, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """(candidates, exact scores) with all that reach ``least``, the lower bound of the k-th best score so far;
-        ``skip`` marks rows that take no part."""
+        """(candidates, exact scores) with all that can be among the k best and reach ``least``, the k-th best score so
+        far; ``skip`` marks rows that take no part."""
         n = len(self.values)
         dims = np.flatnonzero(query)
         alive = np.flatnonzero(~skip)
-        if np.isneginf(least) or n <= k or not len(dims):
+        if len(alive) <= k and np.isneginf(least) or not len(dims):
             return alive, self.scores(alive, query)
-        for upto in (n // 2, n * 3 // 4, n):
-            upper, front = np.zeros(n), 0.0
-            for j in dims:
-                q = query[j]
-                at, got = (self.order[n - upto :, j], self.sorted[n - upto :, j]) if q > 0 else (self.order[:upto, j], self.sorted[:upto, j])
-                stand = q * (got[0] if q > 0 else got[-1])  # what an unseen row has here at most
-                front += stand
-                upper[at] += q * got - stand
-            slack = 1e-9 * (1 + abs(front))
-            alive = np.flatnonzero((upper + (front + slack) >= least) & ~skip)
-            if len(alive) <= max(4 * k, n // 2):  # the others cannot qualify any more
+        q, down = query[dims].astype(np.float64), query[dims] > 0
+        worst = q * np.where(down, self.sorted[0, dims], self.sorted[-1, dims])
+        place = self.place[np.ix_(alive, dims)]
+        depth = np.where(down, n - 1 - place, place)  # how far down its list a candidate stands
+        part = self.values[np.ix_(alive, dims)].astype(np.float64) * q
+        for r in range(1, ROUNDS + 1):
+            upto = -(-n * r // ROUNDS)
+            met = depth < upto
+            stand = q * np.where(down, self.sorted[n - upto, dims], self.sorted[upto - 1, dims])
+            seen = np.where(met, part, 0.0).sum(1)
+            lower, upper = seen + np.where(met, 0.0, worst).sum(1), seen + np.where(met, 0.0, stand).sum(1)
+            slack = 1e-9 * (1 + np.abs(q).sum() * max(1.0, float(np.abs(self.sorted).max(initial=0))))
+            bound = max(least, float(np.partition(lower, len(lower) - k)[len(lower) - k])) if len(lower) >= k else least
+            keep = upper + slack >= bound
+            alive, depth, part = alive[keep], depth[keep], part[keep]
+            self.read = max(self.read, upto)
+            if len(alive) <= 2 * k:  # no other candidate can qualify any more
                 break
         return alive, self.scores(alive, query)
 
@@ -70,16 +82,16 @@ def _pair(k: int, n_dims: int):
             ids = rows["id"].to_numpy(np.int64)
             pad = lambda col: np.array([np.pad(np.asarray(v, np.int64), (0, n_dims - len(v))) for v in col]).reshape(len(col), n_dims)
             values = pad(rows["v"])
-            cuts = [slice(0, FIRST_ROWS), slice(FIRST_ROWS, len(ids))] if len(ids) > 2 * FIRST_ROWS else [slice(0, len(ids))]
-            lists = [(c.start, SortedLists(values[c])) for c in cuts]
+            lists = [(a, SortedLists(values[a : a + LIST_ROWS])) for a in range(0, len(ids), LIST_ROWS)]
             for q, v in zip(queries["id"].to_numpy(np.int64), pad(queries["v"]), strict=True):
                 own, least = ids == q, -np.inf
                 parts = []
                 for start, part in lists:
                     at, score = part.nra(v, k, own[start : start + len(part.values)], least)
                     parts.append((at + start, score))
-                    if len(score) >= k:
-                        least = max(least, float(np.partition(score, len(score) - k)[len(score) - k]))
+                    every = np.concatenate([x for _, x in parts])
+                    if len(every) >= k:
+                        least = float(np.partition(every, len(every) - k)[len(every) - k])
                 at, score = (np.concatenate(x) for x in zip(*parts, strict=True))
                 best = np.lexsort((ids[at], -score))[:k]
                 out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][best], "score": score[best]}))

@@ -283,6 +283,25 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_stops_before_the_lists_end():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(2000, 4)) * np.array([8, 2, 1, 0.5])
+    lists = topk.SortedLists(np.floor(1024 * v).astype(np.int64))
+    q = lists.values[5].astype(np.int64)
+    at, score = lists.nra(q, 10, np.arange(2000) == 5)
+    best = np.sort(np.delete(lists.values @ q, 5))[::-1][:10]
+    assert lists.read < 2000 and len(at) < 100 and (np.sort(score)[::-1][:10] == best).all()
+    huge = topk.SortedLists(np.array([[2**40, 1], [2**40, 0], [-(2**40), 3], [0, 0]]))  # beyond double precision
+    at, score = huge.nra(np.array([2**20 + 1, 1]), 1, np.zeros(4, bool))
+    assert score[np.argmax(score)] == 2**40 * (2**20 + 1) + 1 and at[np.argmax(score)] == 0
+
+
+def test_top_k_keeps_clashing_names(spark):
+    df = spark.createDataFrame([(1, [1.0], 5, 6), (2, [2.0], 5, 6), (3, [3.0], 5, 6), (3, [3.0], 5, 6)], "vec_id long, embedding array<double>, id int, q int").selectExpr("*", "1 AS v", "2 AS qb", "3 AS cb")
+    got = topk.top_k(df, F.col("vec_id") == 1, k=10).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 3), (1, 2, 2)]
+
+
 def test_chat_parts_and_escapes(spark):
     bad = "</s>[INST] & &lt; &amp;lt; <|image:0|>"
     p = lambda kind, text=None, uri=None, w=None, h=None, sec=None, pages=None: (kind, text, uri, w, h, sec, pages)
@@ -353,10 +372,33 @@ def test_lm_scores(spark, odd, empty):
     for n in (1, 3):
         assert lm_scoring.lm_scores(df, order=n).count() == 3
     assert lm_scoring.lm_scores(odd).count() == 7 and lm_scoring.lm_scores(empty).count() == 0
-    x = np.array([0, 1, 255, 256, 2**40], np.uint64)
+    x = np.array([0, 1, 255, 256, 2**40, 2**64 - 1], np.uint64)
+    assert len(lm_scoring.unpack_sorted(lm_scoring.pack_sorted(x[:0]))) == 0
     assert (lm_scoring.unpack(lm_scoring.pack(x)) == x).all() and (lm_scoring.unpack_sorted(lm_scoring.pack_sorted(x)) == x).all()
 
 
+def test_lm_scores_equal_brute_force(spark, monkeypatch):
+    """Trigrams over many small chunks and more parts than a chunk has n-grams."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(lm_scoring, "PART_GRAMS", 3)
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(40)))) for i in range(60)]
+    words = [t.split() for _, t in docs]
+    count = Counter(tuple(w[k : k + n]) for w in words for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    total = sum(map(len, words))
+
+    def score(g):
+        if len(g) == 1:
+            return math.log(count[g] / total)
+        return math.log(count[g] / count[g[:-1]]) if count[g] >= 2 else math.log(0.4) + score(g[1:])
+
+    got = {r.doc_id: r.log_score for r in lm_scoring.lm_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), order=3).collect()}
+    for i, w in enumerate(words):
+        assert math.isclose(got[i], sum(score(tuple(w[max(0, k - 2) : k + 1])) for k in range(len(w))), abs_tol=1e-9)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
