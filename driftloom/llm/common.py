@@ -37,6 +37,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores after it as no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts stay small: the session's limit of rows is lowered to ``rows`` if it is higher.
 

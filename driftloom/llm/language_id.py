@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import materialize, mix64, release, small_batches
 
 N, BITS, HASHES = 4, 1 << 19, 3
 #: Training rows per language, about, at most; chosen by a hash of their text.
@@ -141,15 +141,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["lang", "gram", "c"])
 
     counts = rows.mapInArrow(count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    counts = materialize(counts, "grams")  # read twice, written once
     sums = {r["lang"]: r["s"] for r in counts.groupBy("lang").agg(F.sum("c").alias("s")).collect()}
     weight = F.create_map(*[F.lit(x) for k, s in sums.items() for x in (k, 1.0 / max(1, s))])
     freq = counts.withColumn("f", F.col("c") * weight[F.col("lang")])
     whole = freq.groupBy("gram").agg(F.sum("f").alias("total"), F.collect_list(F.struct("lang", "f")).alias("by"))
     own = whole.select("gram", "total", F.explode("by").alias("x")).where(F.col("x.f") >= LEAST_SHARE * F.col("total")).select("gram", F.col("x.lang").alias("lang"), F.col("x.f").alias("f"))
-    by = {}
-    for lang in sizes:
-        top = own.where(F.col("lang") == lang).orderBy(F.desc("f"), "gram").limit(MOST_GRAMS).select("gram").collect()
-        by[lang] = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("f"), "gram"))
+    top = own.withColumn("rank", rank).where(F.col("rank") <= MOST_GRAMS).select("lang", "gram").toPandas()  # MOST_GRAMS rows a language
+    by = {lang: np.sort(top["gram"][top["lang"] == lang].to_numpy(np.int64).view(np.uint64)) for lang in sizes}
+    release(counts)
     return LanguageFilters.build(by)
 
 

@@ -129,14 +129,12 @@ def best_fit(rest: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
         while n:
             room = next((r for r in range(v, capacity) if open_at[r]), None)
             if room is None:
-                m = max(1, min(n, n // (capacity // v))) if n >= capacity // v else n
-                fill = capacity // v if n >= capacity // v else 1
-                bins = n // fill if fill > 1 else n
+                fill = capacity // v if n >= capacity // v else 1  # equal pieces fill new sequences together
+                bins = n // fill
                 key = (v,) * fill
                 left = capacity - v * fill
                 open_at[left][key] = open_at[left].get(key, 0) + bins
                 n -= bins * fill
-                del m
                 continue
             key, bins = next(iter(open_at[room].items()))
             m = min(n, bins)
