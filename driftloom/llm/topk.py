@@ -1,7 +1,8 @@
 """Exact top-k by inner product with no-random-access aggregation over sorted lists.
 
 Queries and candidates are dealt into blocks of bounded size and each pair of blocks is one task.  In a block each
-dimension is a list of candidates sorted by its component, read from the end that suits the sign of the query's.
+dimension is a list of candidates sorted by its component, read from the end that suits the sign of the query's;
+all queries of a block read the same lists to the same depth, so their bounds are sums of matrix products.
 The lists are read down in parallel, ``ROUNDS`` times a stretch of equal length.  What has been met of a candidate gives a lower
 bound of its score (the dimensions in which it wasn't met filled with the list's worst value) and an upper one (filled
 with the value where the list stands).  Candidates whose upper bound is below the k-th best lower bound cannot qualify;
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries and candidates of a block, candidates whose lists are read together, and stretches in which lists are read.
-QUERY_BLOCK, CANDIDATE_BLOCK, LIST_ROWS, ROUNDS = 512, 8192, 2048, 16
+QUERY_BLOCK, CANDIDATE_BLOCK, LIST_ROWS, ROUNDS = 512, 8192, 4096, 4
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
@@ -41,33 +42,30 @@ class SortedLists:
         np.put_along_axis(self.place, order, np.arange(len(values), dtype=np.int32)[:, None], 0)
         self.read = 0
 
-    def nra(self, query: np.ndarray, k: int, skip: np.ndarray, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """(candidates, exact scores) with all that can be among the k best and reach ``least``, the k-th best score so
-        far; ``skip`` marks rows that take no part."""
-        n = len(self.values)
-        dims = np.flatnonzero(query)
-        alive = np.flatnonzero(~skip)
-        if len(alive) <= k and np.isneginf(least) or not len(dims):
-            return alive, self.scores(alive, query)
-        q, down = query[dims].astype(np.float64), query[dims] > 0
-        worst = q * np.where(down, self.sorted[0, dims], self.sorted[-1, dims])
-        place = self.place[np.ix_(alive, dims)]
-        depth = np.where(down, n - 1 - place, place)  # how far down its list a candidate stands
-        part = self.values[np.ix_(alive, dims)].astype(np.float64) * q
+    def nra(self, queries: np.ndarray, k: int, skip: np.ndarray, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (a row): (candidates, exact scores) with all that can be among the k best and reach ``least``, its
+        k-th best score so far; ``skip`` (queries x candidates) marks rows that take no part."""
+        n, values = len(self.values), self.values.astype(np.float64)
+        alive, open_ = ~skip, np.arange(len(queries))  # queries that still read
         for r in range(1, ROUNDS + 1):
+            open_ = open_[alive[open_].sum(1) > 2 * k]  # of the others, no outsider can qualify any more
+            if not len(open_):
+                break
             upto = -(-n * r // ROUNDS)
-            met = depth < upto
-            stand = q * np.where(down, self.sorted[n - upto, dims], self.sorted[upto - 1, dims])
-            seen = np.where(met, part, 0.0).sum(1)
-            lower, upper = seen + np.where(met, 0.0, worst).sum(1), seen + np.where(met, 0.0, stand).sum(1)
-            slack = 1e-9 * (1 + np.abs(q).sum() * max(1.0, float(np.abs(self.sorted).max(initial=0))))
-            bound = max(least, float(np.partition(lower, len(lower) - k)[len(lower) - k])) if len(lower) >= k else least
-            keep = upper + slack >= bound
-            alive, depth, part = alive[keep], depth[keep], part[keep]
             self.read = max(self.read, upto)
-            if len(alive) <= 2 * k:  # no other candidate can qualify any more
-                break
-        return alive, self.scores(alive, query)
+            up, down = np.maximum(queries[open_], 0).astype(np.float64), np.minimum(queries[open_], 0).astype(np.float64)
+            high, low = self.place >= n - upto, self.place < upto  # met from the upper and from the lower end
+            seen = up @ (values * high).T + down @ (values * low).T
+            high, low = (~high).T.astype(np.float64), (~low).T.astype(np.float64)
+            lower = seen + (up * self.sorted[0]) @ high + (down * self.sorted[-1]) @ low
+            upper = seen + (up * self.sorted[n - upto]) @ high + (down * self.sorted[upto - 1]) @ low
+            slack = 1e-9 * (1 + (up - down).sum(1) * float(np.abs(self.sorted).max(initial=0)))
+            lower[~alive[open_]] = -np.inf
+            bound = least[open_]
+            if n >= k:
+                bound = np.maximum(bound, np.partition(lower, n - k, axis=1)[:, n - k])
+            alive[open_] &= upper + 2 * slack[:, None] >= bound[:, None]
+        return [(at, self.scores(at, q)) for q, at in zip(queries, map(np.flatnonzero, alive), strict=True)]
 
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Exact inner products."""
@@ -83,16 +81,18 @@ def _pair(k: int, n_dims: int):
             pad = lambda col: np.array([np.pad(np.asarray(v, np.int64), (0, n_dims - len(v))) for v in col]).reshape(len(col), n_dims)
             values = pad(rows["v"])
             lists = [(a, SortedLists(values[a : a + LIST_ROWS])) for a in range(0, len(ids), LIST_ROWS)]
-            for q, v in zip(queries["id"].to_numpy(np.int64), pad(queries["v"]), strict=True):
-                own, least = ids == q, -np.inf
-                parts = []
-                for start, part in lists:
-                    at, score = part.nra(v, k, own[start : start + len(part.values)], least)
-                    parts.append((at + start, score))
-                    every = np.concatenate([x for _, x in parts])
+            asked, vectors = queries["id"].to_numpy(np.int64), pad(queries["v"])
+            least, parts = np.full(len(asked), -np.inf), [[] for _ in asked]
+            for start, part in lists:
+                own = asked[:, None] == ids[None, start : start + len(part.values)]
+                for j, (at, score) in enumerate(part.nra(vectors, k, own, least)):
+                    best = np.lexsort((ids[at + start], -score))[:k]
+                    parts[j].append((at[best] + start, score[best]))
+                    every = np.concatenate([x for _, x in parts[j]])
                     if len(every) >= k:
-                        least = float(np.partition(every, len(every) - k)[len(every) - k])
-                at, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+                        least[j] = np.partition(every, len(every) - k)[len(every) - k]
+            for q, found in zip(asked, parts, strict=True):
+                at, score = (np.concatenate(x) for x in zip(*found, strict=True))
                 best = np.lexsort((ids[at], -score))[:k]
                 out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")

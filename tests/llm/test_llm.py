@@ -288,11 +288,11 @@ def test_top_k_stops_before_the_lists_end():
     v = rng.normal(size=(2000, 4)) * np.array([8, 2, 1, 0.5])
     lists = topk.SortedLists(np.floor(1024 * v).astype(np.int64))
     q = lists.values[5].astype(np.int64)
-    at, score = lists.nra(q, 10, np.arange(2000) == 5)
+    at, score = lists.nra(q[None], 10, (np.arange(2000) == 5)[None], np.array([-np.inf]))[0]
     best = np.sort(np.delete(lists.values @ q, 5))[::-1][:10]
     assert lists.read < 2000 and len(at) < 100 and (np.sort(score)[::-1][:10] == best).all()
     huge = topk.SortedLists(np.array([[2**40, 1], [2**40, 0], [-(2**40), 3], [0, 0]]))  # beyond double precision
-    at, score = huge.nra(np.array([2**20 + 1, 1]), 1, np.zeros(4, bool))
+    at, score = huge.nra(np.array([[2**20 + 1, 1]]), 1, np.zeros((1, 4), bool), np.array([-np.inf]))[0]
     assert score[np.argmax(score)] == 2**40 * (2**20 + 1) + 1 and at[np.argmax(score)] == 0
 
 
