@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.llm import chat, language_id, lm_scoring, mixing, near_dedup, packing, queries, substring_dedup, syncmers, topk, toxicity
+from driftloom.llm.common import mix64
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, ""), (2, None), (None, "a b c d e f g"), (3, "same words here in this line"), (3, "same words here in this line"), (4, "x " * 30_000), (5, "\t\n")]
@@ -252,6 +253,61 @@ def test_dedup_passages_of_odd_rows(spark, empty):
     assert substring_dedup.dedup_passages(empty).count() == 0
 
 
+def plain_mix(x):
+    return int(mix64(np.array([x % (1 << 64)], np.uint64))[0])
+
+
+def plain_hash(part):
+    h = 0
+    for c in part:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c)) % (1 << 64)
+    return h
+
+
+def plain_anchors(text):
+    """{hash: first position} of all closed syncmers, by their definition."""
+    k = min(syncmers.K, len(text))
+    s = min(syncmers.S, k)
+    out = {}
+    for p in range(len(text) - k + 1 if text else 0):
+        inner = [plain_mix(plain_hash(text[q : q + s])) for q in range(p, p + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.setdefault(plain_mix(plain_hash(text[p : p + k]) + k) >> 24, p)
+    return out
+
+
+def plain_kept(text):
+    found = plain_anchors(text)
+    return {h: found[h] for h in sorted(found)[: max(syncmers.KEPT, len(found) // syncmers.SHARE)]}
+
+
+def plain_fingerprint(text):
+    return ",".join(f"{h:010x}:{p:x}" for h, p in plain_kept(text).items())
+
+
+def plain_likeness(a, b):
+    x, y = plain_kept(a), plain_kept(b)
+    if x == y:
+        return 1.0
+    union = sorted(x.keys() | y.keys())[: max(syncmers.KEPT, min(len(x), len(y)))]
+    both = sorted((x[h], y[h]) for h in union if h in x and h in y)
+    best = []
+    for i, (_, q) in enumerate(both):
+        best.append(1 + max([best[j] for j in range(i) if both[j][1] < q], default=0))
+    return max(best, default=0) / len(union)
+
+
+def test_a_long_text_keeps_more_anchors():
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefghijkl ") for _ in range(40_000))
+    f = syncmers.fingerprint(text)
+    assert len(f.split(",")) > 4 * syncmers.KEPT
+    parts = [text[a : a + 1000] for a in range(0, 40_000, 1000)]
+    assert syncmers.likeness(f, syncmers.fingerprint("--".join(parts))) > 0.8  # an insertion every 1,000 characters
+    assert syncmers.likeness(f, syncmers.fingerprint("".join(parts[::-1]))) < 0.3  # the same anchors in another order
+    assert syncmers.likeness(f, "") == 0 and syncmers.longest_chain([3, 1, 2, 2, 5, 4]) == 3
+
+
 def test_syncmers(spark, odd, empty):
     rng = random.Random(5)
     text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
@@ -261,10 +317,15 @@ def test_syncmers(spark, odd, empty):
     f = syncmers.fingerprint(text)
     assert syncmers.likeness(f, f) == 1 and syncmers.likeness(f, syncmers.fingerprint(text[:2400])) > 0.5 > syncmers.likeness(f, syncmers.fingerprint(text[::-1]))
     docs = [(i, "".join(rng.choice("xyz äß") for _ in range(40 * i))) for i in range(9)]
+    docs[7] = (7, docs[8][1][:150] + "inserted" + docs[8][1][150:])
     got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     for k, (i, t) in enumerate(docs):
         n, after = len(t) // 4, docs[(k + 1) % 9][1]
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest() and got[i].n_chars == len(t)
+        changed = t[: len(t) - n] + after[:n]
+        assert got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and got[i].n_chars == len(t)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (plain_fingerprint(t), plain_fingerprint(changed))
+        assert got[i].near_edited == pytest.approx(plain_likeness(t, changed)) and got[i].near_next == pytest.approx(plain_likeness(t, after))
+    assert got[7].near_next > 0.7
     assert syncmers.fingerprints(odd).count() == 7 and syncmers.fingerprints(empty).count() == 0
 
 
