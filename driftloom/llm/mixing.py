@@ -8,17 +8,13 @@ per source in which the budget ends is sorted, so a source with most of the rows
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, partitions, release
 
 #: Documents per bucket of keys, on average, at most.
 BUCKET_ROWS = 2_000
-#: Sources (one total each) that may be collected; targets are set per source, so there are few.
-MOST_SOURCES = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -26,23 +22,45 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(totals: dict[str | None, int], weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> dict[str | None, Fraction]:
-    """Each source's words: the total shared by weight (sources by code point, null last), none above ``most`` times its own."""
-    order = sorted((s for s in totals if s is not None)) + [None] * (None in totals)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    free, out, left = set(order), {}, Fraction(sum(totals.values()))
-    while free:
-        share = left / sum(weight[s] for s in free)
-        full = {s for s in free if weight[s] * share > most * totals[s]}
-        if not full:
-            return out | {s: weight[s] * share for s in free}
-        for s in full:
-            out[s] = Fraction(most * totals[s])
-            left -= out[s]
-        free -= full
+def ranked(per: DataFrame) -> DataFrame:
+    """``per`` with the column ``rank``, from 0, of its sources by code point, null last; no task sees all of them."""
+    order = F.col("source").isNull(), F.col("source")
+    n = partitions(per.sparkSession, 0, 1)
+    rows = materialize(per.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    held = rows.groupBy(part.alias("part")).agg(F.count("*").alias("held"))  # a row a partition
+    ahead = held.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("ahead"))
+    out = materialize(rows.withColumn("part", part).join(ahead, "part").withColumn("rank", F.col("ahead") + place).drop("at", "part", "ahead"), "ranks")
+    release(rows)
     return out
 
 
+def targets(per: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """``per`` (source, size, ...) with ``target`` and ``words`` (it rounded down): the sum of all sizes shared by weight,
+    dealt to the sources in order, none above ``most`` times its own size; what is above is shared again.
+
+    A word of weight 1 is worth ``left / free``; raising it only caps more sources, so the sums over the capped and the
+    free ones, two numbers a round, are all that the rounds pass on.
+    """
+    per = ranked(per).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
+    whole, every = per.agg(F.sum("size"), F.sum("weight")).first()
+    left, free = whole or 0, every or 1
+    cap = F.col("size") * most
+    while True:
+        full = F.expr(f"(weight * {left} + {free} - 1) div {free}") > cap
+        capped, rest = per.agg(F.sum(F.when(full, cap).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight")))).first()
+        now = (whole or 0) - (capped or 0), rest or 1
+        if now == (left, free):
+            break
+        left, free = now
+    share = (F.col("weight") * left).cast("double") / float(free)
+    return per.withColumn("target", F.when(full, cap.cast("double")).otherwise(share)).withColumn("words", F.when(full, cap).otherwise(F.expr(f"weight * {left} div {free}")))
+
+
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__s")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", words_col: str | None = None, weight: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> DataFrame:
     """Per row: id, source, size, source_size, target, taken, epochs, key.  ``words_col``: sizes that are known already.
 
@@ -50,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     order of the key; the last document gives only the words that are still missing, so a source's words are its target
     rounded down.  ``weight`` (positive; null or not positive: 1) makes a document likelier to be taken.
     Null or wordless texts have size 0 and nothing is taken from them; null sources are a source of their own;
-    rows that repeat count as often as they stand; ties of the key go to the smaller id; an empty table gives no rows.
+    rows that repeat count as often as they stand; ties of the key go to the smaller id, then the smaller size; an empty table gives no rows.
     """
     spark = docs.sparkSession
     w = F.lit(1.0) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(1.0)
@@ -58,21 +76,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (F.coalesce(F.col(words_col), F.lit(0)).cast("long") if words_col else word_count(F.col(text_col))).alias("size"), w.alias("w"), uniform.alias("u"))
     rows = rows.select("id", "source", "size", (-F.log("u") / F.col("w")).alias("key"))
     rows = materialize(rows, "sizes")
-    per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(per) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals = {r["source"]: r["size"] for r in per}
-    goal = targets(totals, weights, most)
-    table = []
-    for r in per:
-        s, size = r["source"], r["size"]
-        epochs = int(goal[s] // size) if size else 0
-        table.append((s, size, float(goal[s]), epochs, int(goal[s] - epochs * size), max(1, -(-r["n"] // BUCKET_ROWS))))
-    plan = spark.createDataFrame(table, "source string, source_size long, target double, epochs int, budget long, buckets long")
-    plan = plan.withColumn("__s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
-    if len(table) <= 10_000:
-        plan = F.broadcast(plan)
-    rows = rows.withColumn("__s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(plan, "__s")
+    per = targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), weights, most)
+    epochs = F.expr("CASE WHEN size > 0 THEN words div size ELSE 0 END")
+    plan = per.select(
+        _key(), F.col("size").alias("source_size"), "target", epochs.cast("int").alias("epochs"), (F.col("words") - epochs * F.col("size")).alias("budget"),
+        F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).cast("long").alias("buckets"),
+    )
+    rows = rows.withColumn("__s", _key()).join(plan, "__s")  # Spark broadcasts the plan if its written size allows it
     # for rate w the key is exponential: exp(-key) is uniform for w = 1 and keeps the order for all
     rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1))
     sums = rows.groupBy("__s", "bucket").agg(F.sum("size").alias("in_bucket"), F.max("budget").alias("budget"))
@@ -80,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sums = sums.select("__s", "bucket", "in_bucket", before.alias("before"))
     rows = rows.join(sums, ["__s", "bucket"])
     cut = (F.col("before") < F.col("budget")) & (F.col("before") + F.col("in_bucket") > F.col("budget"))
-    run = F.sum("size").over(Window.partitionBy("__s", "bucket").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("size").over(Window.partitionBy("__s", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
     whole = rows.where(~cut).withColumn("part", F.when(F.col("before") < F.col("budget"), F.col("size")).otherwise(0))
     edge = rows.where(cut).withColumn("run", run)
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("budget") - F.col("before") - F.col("run") + F.col("size")))).drop("run")
