@@ -36,6 +36,9 @@ COMBOS = [(j, k) for k in range(2, WINDOW) for j in range(1, k)] + [(1, 2, 3), (
 #: Labelled rows of each class, about, that training reads at most; characters of them kept on the driver at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 1_200, 16_000_000
 LANDMARKS, ROUNDS, CACHE_WORDS = 480, 4, 400_000
+#: Words of the sampled rows that the machine is fitted to, at most: insults to begin with and more in each round; those
+#: among them that get corrupted variants; frequent and (at random) rare words of clean rows; hard ones more in each round.
+INSULTS, VARIED, FREQUENT, RARE, HARD = 4_000, 400, 4_000, 12_000, 4_000
 #: Words of more than LONG characters (joined runs, URLs, text without blanks) are read as windows, (characters, step): in
 #: training those of the first size, in scoring all, as an insult counts for less the more stands beside it in its window.
 LONG, WINDOWS = 64, ((64, 16), (24, 4), (12, 2))
@@ -265,15 +268,15 @@ def fit_rows(rows: list[tuple[str | None, int]], prior: float | None = None, see
         return none
     plain = [w for w in clean if not w.endswith("+")]
     plain.sort(key=lambda w: (-clean[w], w))
-    common, rare = plain[:4000], plain[4000:]
+    common, rare = plain[:FREQUENT], plain[FREQUENT:]
     rng.shuffle(rare)
-    positive, negative = list(dict.fromkeys(seeds))[:4000], common + rare[:12_000]
+    positive, negative = list(dict.fromkeys(seeds))[:INSULTS], common + rare[:RARE]
     half = LANDMARKS // 2
     variety = list(dict.fromkeys([*seeds[: half // 2], *rng.sample(positive, min(len(positive), half // 2))]))
     marks = Landmarks(variety + rng.sample(negative, min(len(negative), LANDMARKS - half)))
     model = none
     for turn in range(ROUNDS):
-        extra = [v for w in positive[:400] for v in corrupted(w, rng, 4)]
+        extra = [v for w in positive[:VARIED] for v in corrupted(w, rng, 4)]
         words = positive + extra + negative
         y = np.array([1.0] * (len(positive) + len(extra)) + [-1.0] * len(negative))
         per = np.array([1.0 + min(20.0, apart[w] / 5) for w in positive] + [0.2] * len(extra) + [1.0] * len(negative))
@@ -286,9 +289,9 @@ def fit_rows(rows: list[tuple[str | None, int]], prior: float | None = None, see
         known = set(positive) | set(negative)
         candidates = [u for u in toxic if not u.endswith("+") and clean[u] == 0 and u not in known]
         s = np.concatenate([model.word_scores(candidates[a : a + 20_000]) for a in range(0, len(candidates), 20_000)] or [np.empty(0)])
-        positive += [candidates[i] for i in np.flatnonzero(s > 0.5)][:4000]
+        positive += [candidates[i] for i in np.flatnonzero(s > 0.5)][:INSULTS]
         s = np.concatenate([model.word_scores(rare[a : a + 20_000]) for a in range(0, len(rare), 20_000)] or [np.empty(0)])
-        hard = [rare[i] for i in np.argsort(-s)[:4000] if s[i] > -0.9]
+        hard = [rare[i] for i in np.argsort(-s)[:HARD] if s[i] > -0.9]
         hard = [h for h in hard if h not in known]
         negative += hard
         if hard:  # what is hard to tell apart makes the best landmarks
@@ -339,7 +342,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the column ``name``: 0 to 1, higher for likelier toxic.  Null, empty and wordless texts score low."""
+    """``docs`` with the column ``name``: 0 to 1, higher for likelier toxic.  Null, empty and wordless texts score low;
+    rows that repeat score alike; an empty table stays empty; a column called ``name`` is replaced, all others stay as they are."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
