@@ -1,8 +1,11 @@
 """The training-data operators against brute force, and their defined results for odd rows."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -152,17 +155,68 @@ def test_plan_holds_each_length_as_often_as_it_occurs():
     assert (used == have).all()
 
 
-def test_mixing(spark, odd, empty):
-    sizes = {"a": [5, 3, 9], "b": [100, 1], "c": [40], None: [7, 7, 7, 0]}
-    rows = [(k, s, " ".join(["w"] * n)) for k, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas()
-    assert abs(got.groupby("source", dropna=False)["target"].first().sum() - 179) < 1e-9
-    for s, own in got.groupby(got["source"].fillna("-")):
-        assert 0 <= own["target"].iloc[0] - own["taken"].sum() < 1 and own["target"].iloc[0] <= 3 * own["size"].sum(), s
-        assert (own["taken"] <= 3 * own["size"]).all()
-    t = mixing.targets({"a": 10, "b": 1000, None: 1})
-    assert [float(t[s]) for s in ("a", "b", None)] == [30.0, 978.0, 3.0]
-    assert mixing.mix(odd.withColumn("source", F.lit("s"))).count() == 7 and mixing.mix(empty).count() == 0
+def plain_targets(totals, weights=(5, 2, 1), most=3):
+    """Each source's words, by loops over exact fractions."""
+    order = [*sorted((s for s in totals if s is not None), key=lambda s: s.encode()), *[None] * (None in totals)]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    capped = set()
+    while True:
+        left = sum(totals.values()) - most * sum(totals[s] for s in capped)
+        share = Fraction(left, max(1, sum(weight[s] for s in order if s not in capped)))
+        above = {s for s in order if s not in capped and weight[s] * share > most * totals[s]}
+        if not above:
+            return {s: Fraction(most * totals[s]) if s in capped else weight[s] * share for s in order}
+        capped |= above
+
+
+def check_mix(got, rows):
+    """``got``: rows of mix(); ``rows``: (id, source, size).  Targets, epochs and words taken as plain loops find them."""
+    totals = {}
+    for _, s, n in rows:
+        totals[s] = totals.get(s, 0) + n
+    goal, by = plain_targets(totals), {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+    assert sorted((repr(r.doc_id), repr(r.source), r.size) for r in got) == sorted((repr(i), repr(s), n) for i, s, n in rows)
+    for s, own in by.items():
+        epochs = int(goal[s] // totals[s]) if totals[s] else 0
+        missing = int(goal[s] - epochs * totals[s])
+        for r in sorted(own, key=lambda r: (r.key, r.doc_id is not None, r.doc_id, r.size)):
+            part = min(r.size, missing)
+            missing -= part
+            assert (r.taken, r.epochs, r.source_size) == (epochs * r.size + part, epochs, totals[s]) and r.target == pytest.approx(float(goal[s]), rel=1e-12)
+
+
+def test_mixing_equals_brute_force(spark, odd, empty, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    rng = random.Random(6)
+    few = {"a": [5, 3, 9], "b": [100, 1], "c": [40], "\U0001f600": [2], "\uffee": [50, 60], "": [0, 0], None: [7, 7, 7, 0]}
+    rows = [(k, s, n) for k, (s, n) in enumerate((s, n) for s, ns in few.items() for n in ns)]
+    rows += [(3, "b", 8), (3, "b", 9), (3, "b", 9)]  # an id that repeats, with another size and with the same
+    many = [(i, f"s{rng.randrange(700)}" if i % 3 else "hot", int(10 ** rng.uniform(0, 3))) for i in range(4000)]  # a third in one source
+    shrunk = [(i, f"s{i}", 2**i) for i in range(12)]  # capped one after the other
+    for some in (rows, many, shrunk):
+        df = spark.createDataFrame(some, "doc_id long, source string, n long").selectExpr("*", "'clash' AS size", "1 AS key", "2 AS epochs", "3 AS weight", "4 AS rank", "5 AS w").repartition(5)
+        got = mixing.mix(df, words_col="n", weight=F.when(F.col("doc_id") % 7 == 0, 2.0)).collect()
+        check_mix(got, some)
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(df.repartition(2), words_col="n", weight=F.when(F.col("doc_id") % 7 == 0, 2.0)).collect()), key=repr)
+    assert [float(x) for x in plain_targets({"a": 10, "b": 1000, None: 1}).values()] == [30.0, 978.0, 3.0]
+    check_mix(mixing.mix(odd.withColumn("source", F.lit("s"))).collect(), [(i, "s", len((t or "").split())) for i, t in ODD])
+    assert mixing.mix(empty).count() == 0
+    assert [r.taken for r in mixing.mix(spark.createDataFrame([(1, "a", None), (2, None, " ")], "doc_id long, source string, text string")).collect()] == [0, 0]
+
+
+def test_mixing_query_equals_brute_force(spark):
+    docs = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    source = {i: s for i, s, _ in docs}
+    goal, totals = plain_targets({s: sum(n for _, x, n in docs if x == s) for s in set(source.values())}), {}
+    got = queries.op6_mixing(spark, SF).collect()
+    assert sorted((r.doc_id, r.size) for r in got) == sorted((i, n) for i, _, n in docs)
+    for r in got:
+        s = source[r.doc_id]
+        totals[s] = totals.get(s, 0) + r.taken
+        assert r.taken <= 3 * r.size and r.target == pytest.approx(float(goal[s]))
+    assert totals == {s: int(g) for s, g in goal.items()}
 
 
 def cut_by_brute_force(rows):
@@ -389,6 +443,104 @@ def test_language_id_held_out(spark, odd, empty):
     assert [r.lang_pred for r in language_id.identify(spark.createDataFrame([(1, "the cat"), (2, "123"), (3, None)], "doc_id long, text string"), some).collect()] == ["en", "und", "und"]
 
 
+def plain_languages(texts, model):
+    """(language, score) of each text with filters and lookups spelled out, bit by bit."""
+
+    def bits(h):
+        step = h >> 40 | 1
+        return [((h + j * step) % 2**64) % language_id.BITS for j in range(language_id.HASHES)]
+
+    out = []
+    for t in texts:
+        chars, hits, total = [], [0.0] * len(model.languages), 0
+        for c in f" {t or ''} ":
+            low = c.lower()
+            chars.append(ord(low) if c.isalpha() and len(low) == 1 else ord(c) if c.isalpha() else 32)
+        for k in range(len(chars) - language_id.N + 1):
+            run = chars[k : k + language_id.N]
+            if 32 in run[1:-1]:
+                continue
+            h, total = 0, total + 1
+            for c in run:
+                h = (h * 0x100000001B3 + c) % 2**64
+            words = [model.table[b] for b in bits(plain_mix(h))]
+            for i in range(len(hits)):
+                hits[i] += all(int(w[i // 64]) >> (i % 64) & 1 for w in words)
+        real = [max(0.0, x - total * float(f)) / max(1e-9, 1 - float(f)) for x, f in zip(hits, model.false_rate, strict=True)]
+        if all(c == 32 for c in chars) or not real:
+            out.append(("und", 0.0))
+        else:
+            out.append((model.languages[real.index(max(real))], max(real) / max(1e-9, sum(real))))
+    return out
+
+
+def test_language_id_equals_brute_force(spark):
+    rng = random.Random(9)
+    letters = {f"l{i:02}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyzäößçé", 9)) for i in range(70)}  # two words of the table
+    text = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    rows = [(text(lang, 40), lang) for lang in letters for _ in range(4)]
+    model = language_id.train(spark.createDataFrame([*rows, (None, "l00"), ("abc", None)], "text string, lang string"))
+    assert model.languages == sorted(letters) and model.table.shape[1] == 2
+    texts = [*(text(rng.choice(list(letters)), rng.randrange(1, 30)) for _ in range(60)), None, "", "12 !", "é", "İa bc", "z" * 300, "ab\nCD\tEF", rows[0][0], rows[0][0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' AS lang_pred", "0 AS score", "1 AS id")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs.repartition(3), model).collect()}
+    for i, (lang, score) in enumerate(plain_languages(texts, model)):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score)
+
+
+def plain_word_score(word, model):
+    """Margin of one word: its weighted subsequences' weights, over the root of the sum of squared weights."""
+    c, total, norm = [ord(x) for x in f"^{word}$"], 0.0, 0.0
+    for places in toxicity.COMBOS:
+        w = toxicity.DECAY ** (places[-1] - len(places))
+        for i in range(len(c) - places[-1]):
+            h = (c[i] + len(places)) % 2**64
+            for j in places:
+                h = (h * 0x100000001B3 + c[i + j]) % 2**64
+            total += float(model.table[plain_mix(h) % toxicity.BUCKETS]) * w
+            norm += w * w
+    return total / math.sqrt(max(norm, 1e-6)) + model.bias
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(4)
+    table = np.random.default_rng(4).normal(size=toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.ToxicityModel(table, -0.3, 2.0, 0.5)
+    word = lambda n: "".join(rng.choice("abcdeé😀-") for _ in range(n))
+    texts = [" ".join(word(rng.randrange(1, 12)) for _ in range(rng.randrange(1, 20))) for _ in range(30)]
+    texts += [word(65), f"x {word(300)} y", "a b c d", "!!! ...", "A\u00a0B", texts[0], texts[0].upper()]
+
+    def plain(text):
+        margins = []
+        for w in toxicity.words_of(text, True):
+            parts = [w]
+            if len(w) > toxicity.LONG:
+                parts = [w[a : a + n] for n, step in toxicity.WINDOWS for a in range(0, max(1, len(w) - n + step), step)]
+            margins += [plain_word_score(p, model) for p in parts]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, 2.0 * max(margins, default=-9.0) + 0.5))))
+
+    rows = [*enumerate(texts), (100, None), (101, ""), (None, "a bc"), (102, " \t\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'kept' AS __score", "9 AS score").repartition(3)
+    got = toxicity.score(docs, model).collect()
+    assert sorted(repr((r.doc_id, round(r.score, 4), r["__score"])) for r in got) == sorted(repr((i, round(plain(t), 4), "kept")) for i, t in rows)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_the_collapsed_machine_equals_the_one_over_landmarks():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 12)))
+    marks, words = toxicity.Landmarks(sorted({word() for _ in range(60)})), [word() for _ in range(200)]
+    w = np.random.default_rng(5).normal(size=len(marks.words))
+    model = toxicity.ToxicityModel(marks.collapse(w), 0.25, 1.0, 0.0)
+    assert np.allclose(model.word_scores(words), marks.map(words) @ w + 0.25, atol=1e-3)
+
+
+def test_toxicity_query(spark):
+    got = queries.op8_toxicity(spark, SF).collect()
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert len(got) == n and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+
+
 def test_toxicity_learns_planted_insults():
     rng = random.Random(1)
     word = lambda: "".join(rng.choice(["an", "er", "th", "on", "re", "st"]) for _ in range(rng.randrange(1, 4)))
@@ -502,7 +654,7 @@ def test_pipeline_stages_equal_plain_code(spark):
     totals = Counter()
     for i, r in got.items():
         totals[r.source] += size[i]
-    goal, most, taken, times = mixing.targets(dict(totals)), Counter(), Counter(), Counter()
+    goal, most, taken, times = plain_targets(dict(totals)), Counter(), Counter(), Counter()
     for r in four.collect():
         taken[r.source] += size[r.doc_id]
         times[r.doc_id] += 1
