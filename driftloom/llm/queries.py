@@ -80,7 +80,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syncmers.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return syncmers.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"), kept=None)
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

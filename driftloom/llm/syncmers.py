@@ -2,9 +2,11 @@
 
 A k-mer of code points is a closed syncmer if the smallest hash among its s-mers is the first or the last.  Whether it
 is one depends on the k-mer alone, so two texts share the anchors of every passage that they share, wherever it stands.
-A fingerprint is the bottom-m of the distinct anchors by hash, each with its first position; m is a share of them, so
-long texts keep more.  Likeness matches by position: of the union's bottom-m (the smaller m of the two) it counts the
-longest chain of anchors that both texts hold in the same order, hence an insertion or a cut costs only what it changes.
+A fingerprint is all distinct anchors (``kept`` None) or the bottom-m of them by hash, each with its first position; m is
+a share of them, so long texts keep more.  Likeness matches by position: of the union of all anchors, or of the union's
+bottom-m (the smaller m of the two), it counts the longest chain of anchors that both texts hold in the same order, hence
+an insertion or a cut costs only what it changes.  A bottom-m is a sample: its likeness is an estimate, and a change
+that touches none of its anchors doesn't show.
 """
 
 from __future__ import annotations
@@ -21,8 +23,12 @@ from pyspark.sql import functions as F
 from .common import mix64, small_batches
 
 K, S = 16, 6
-#: Anchors that a fingerprint keeps at least (all, if fewer), and of how many distinct anchors it keeps one beyond that.
+#: Anchors that a bottom-m keeps at least (all, if fewer), and of how many distinct anchors it keeps one beyond that.
 KEPT, SHARE = 32, 32
+#: Characters of fingerprints that a task holds before it hands them on (a longer one is taken whole).
+HELD = 8_000_000
+
+Marks = tuple[np.ndarray, np.ndarray]
 
 
 def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -50,12 +56,24 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return mix64(x + np.uint64(k)), at
 
 
-def fingerprint(text: str, kept: int = KEPT, share: int = SHARE) -> str:
-    """``hash:position`` in hexadecimal, ascending by hash, comma-separated; empty for an empty text."""
+def marks(text: str, kept: int | None = KEPT, share: int = SHARE) -> Marks:
+    """(hashes ascending, first positions) of the distinct anchors that a fingerprint holds; all of them if ``kept`` is None."""
     h, at = anchors(text)
     h, first = np.unique(h >> np.uint64(24), return_index=True)
-    n = max(kept, len(h) // share)
-    return ",".join(f"{x:010x}:{p:x}" for x, p in zip(h[:n].tolist(), at[first[:n]].tolist(), strict=True))
+    n = len(h) if kept is None else max(kept, len(h) // share)
+    return h[:n], at[first[:n]]
+
+
+def written(m: Marks) -> str:
+    """``hash:position`` in hexadecimal, ascending by hash, comma-separated."""
+    both = np.empty((len(m[0]), 2), np.int64)
+    both[:, 0], both[:, 1] = m
+    return (",%010x:%x" * len(both) % tuple(both.ravel().tolist()))[1:]
+
+
+def fingerprint(text: str, kept: int | None = KEPT, share: int = SHARE) -> str:
+    """The anchors as ``written``; empty for an empty text."""
+    return written(marks(text, kept, share))
 
 
 def longest_chain(places: list[int]) -> int:
@@ -67,14 +85,30 @@ def longest_chain(places: list[int]) -> int:
     return len(ends)
 
 
-def likeness(a: str, b: str, kept: int = KEPT) -> float:
-    """0 to 1; 1 for equal fingerprints.  Fewer than ``kept`` anchors are all that a text has, so they don't bound the union."""
+def alike(a: Marks, b: Marks, kept: int | None = KEPT) -> float:
+    """``likeness`` of what two fingerprints hold."""
+    (x, p), (y, q) = a, b
+    if np.array_equal(x, y) and np.array_equal(p, q):
+        return 1.0
+    if kept is not None:
+        top = np.union1d(x, y)[: max(kept, min(len(x), len(y)))][-1]
+        x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
+    if not len(x) or not len(y):
+        return 0.0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = np.flatnonzero(y[at] == x)
+    places = q[at[both]][np.argsort(p[both])]
+    chain = len(places) if (places[1:] > places[:-1]).all() else longest_chain(places.tolist())
+    return chain / (len(x) + len(y) - len(both))
+
+
+def likeness(a: str, b: str, kept: int | None = KEPT) -> float:
+    """0 to 1; 1 for equal fingerprints.  None: both hold all anchors, and all of the union count.  Otherwise fewer than
+    ``kept`` anchors are all that a text has, so they don't bound the union."""
     if a == b:
         return 1.0
-    x, y = ({p[:10]: int(p[11:], 16) for p in f.split(",")} if f else {} for f in (a, b))
-    union = sorted(x.keys() | y.keys())[: max(kept, min(len(x), len(y)))]
-    shared = sorted((x[h], y[h]) for h in union if h in x and h in y)
-    return longest_chain([q for _, q in shared]) / len(union)
+    x, y = ([p.split(":") for p in f.split(",") if p] for f in (a, b))
+    return alike(*((np.array([int(h, 16) for h, _ in f], np.uint64), np.array([int(p, 16) for _, p in f], np.int64)) for f in (x, y)), kept)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,9 +135,10 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: int | None = KEPT) -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
+    ``kept`` None: whole fingerprints, about 2.6 times as long as their texts, and exact likeness of them.
     A null text is empty.  "Next" is the row after in order of (id, text), nulls first, so rows that repeat follow each
     other; the last is followed by the first, a single row by itself.
     """
@@ -111,11 +146,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def row(one, two) -> tuple:
         (i, text, own), other = one, edited(one[1], two[1])
-        changed = fingerprint(other) if other != text else own
-        return i, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, likeness(own, changed), likeness(own, two[2])
+        changed = marks(other, kept) if other != text else own
+        return i, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), written(own), written(changed), alike(own, changed, kept), alike(own, two[2], kept)
+
+    def batch(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        types = [kind, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_pid, ended, out = None, None, False, []
+        last, last_pid, ended, out, held = None, None, False, [], 0
         for b in batches:
             for pid, tail, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if pid != last_pid:
@@ -123,13 +162,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if ended:
                     continue
                 ended = tail
-                one = (i, text, fingerprint(text))
+                one = (i, text, marks(text, kept))
                 if last is not None:
                     out.append(row(last, one))
+                    held += len(out[-1][3]) + len(out[-1][4])
+                    if held >= HELD:
+                        yield batch(out, b.schema.field(2).type)
+                        out, held = [], 0
                 last = one
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [b.schema.field(2).type, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()], strict=True)], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-                out = []
+                yield batch(out, b.schema.field(2).type)
+                out, held = [], 0
 
     small_batches(docs.sparkSession)
     schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -383,6 +383,45 @@ def test_syncmers(spark, odd, empty):
     assert syncmers.fingerprints(odd).count() == 7 and syncmers.fingerprints(empty).count() == 0
 
 
+def plain_whole_likeness(a, b):
+    x, y = plain_anchors(a), plain_anchors(b)
+    if x == y:
+        return 1.0
+    chain = []
+    for q in (y[h] for _, h in sorted((p, h) for h, p in x.items()) if h in y):
+        chain.append((q, 1 + max([n for r, n in chain if r < q], default=0)))
+    return max([n for _, n in chain], default=0) / len(x.keys() | y.keys())
+
+
+def test_op9_holds_and_counts_all_anchors(spark):
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    got = {r.doc_id: r for r in queries.op9_document_fingerprints(spark, SF).collect()}
+    assert len(got) == len(texts)
+    seen = 0
+    for (i, t), (_, after) in zip(texts, texts[1:] + texts[:1], strict=True):
+        if len(t) + len(after) < 1500:
+            changed = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+            assert [got[i].fingerprint, got[i].edited_fingerprint] == [",".join(f"{h:010x}:{p:x}" for h, p in sorted(plain_anchors(x).items())) for x in (t, changed)]
+            assert got[i].near_edited == pytest.approx(plain_whole_likeness(t, changed)) and got[i].near_next == pytest.approx(plain_whole_likeness(t, after))
+            seen += len(plain_anchors(t)) > syncmers.KEPT
+    assert seen > 5
+
+
+def test_whole_fingerprints_show_any_changed_word(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(600)]
+    f = syncmers.fingerprint(" ".join(words), None)
+    for k in range(3, 597, 9):
+        near = syncmers.likeness(f, syncmers.fingerprint(" ".join([*words[:k], "zzz", *words[k + 1 :]]), None), None)
+        assert 0.95 < near < 1
+    part = syncmers.fingerprint(" ".join(words[:60]), None)  # a tenth of the text: all of the union counts
+    assert syncmers.likeness(f, part, None) == syncmers.likeness(part, f, None) == pytest.approx(part.count(":") / f.count(":"), rel=0.05)
+    assert syncmers.likeness(f, "", None) == syncmers.likeness("", f, None) == 0 and syncmers.likeness("", "", None) == 1
+    big = [(i, "".join(rng.choices("abcdefgh ", k=600_000)) if i % 2 else None) for i in range(10)] + [(9, "x"), (None, " ".join(words))]
+    out = syncmers.fingerprints(spark.createDataFrame(big, "doc_id long, text string").coalesce(1), kept=None).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.fingerprint) for r in out) == sorted((str(i), len(t or ""), syncmers.fingerprint(t or "", None)) for i, t in big)
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(3000, 16))
